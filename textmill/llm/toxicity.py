@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted one after another.  Each has a logistic model on which
-words a text holds and on the probabilities of the categories before it; in
+words and beginnings of words a text holds and on the probabilities of the categories before it; in
 training these are out-of-fold predictions, so a later model learns from what an
 earlier one says of texts that it has not seen.  Models are fitted with an L1
 penalty by accelerated proximal gradient steps, on words chosen within the
@@ -20,6 +20,7 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -35,7 +36,7 @@ from textmill.llm._sample import labelled_texts
 #: Labelled rows used for fitting, at most.
 SAMPLE = 6000
 #: Words in each model, at most.
-WORDS = 512
+WORDS = 160
 SEEDS = {
     "insult": "idiot idiots moron morons stupid dumb fool fools clown clowns loser losers jerk imbecile dimwit".split(),
     "contempt": "trash scum worthless pathetic disgusting filth filthy vermin garbage pig pigs disgrace repulsive".split(),
@@ -43,8 +44,14 @@ SEEDS = {
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
+#: Longer words also count by their beginnings of so many bytes, for forms of a word that no labelled row has.
+STEMS = (4, 5, 6)
+
+
 def word_set(text: bytes) -> set[bytes]:
-    return set(text.translate(_TO_WORDS).split())
+    """The distinct words of a text and, with a star, their beginnings."""
+    words = set(text.translate(_TO_WORDS).split())
+    return words.union(*({w[:n] + b"*" for w in words if len(w) > n} for n in STEMS))
 
 
 @dataclass
@@ -89,48 +96,65 @@ def _lasso(x: np.ndarray, y: np.ndarray, free: int, penalty: float, steps: int)
     return now[:-1], float(now[-1])
 
 
-def _fit_link(name: str, sets: list[set[bytes]], y: np.ndarray, earlier: np.ndarray, most_words: int, penalty: float, steps: int) -> Link:
-    n = len(sets)
+class _Held:
+    """Which features each training text holds, as flat arrays: features of fewer than ``least`` texts are left out."""
+
+    def __init__(self, sets: list[set[bytes]], least: int = 5):
+        df = Counter(w for s in sets for w in s)
+        self.words = sorted(w for w, c in df.items() if c >= least)
+        index = {w: i for i, w in enumerate(self.words)}
+        own = [[index[w] for w in s if w in index] for s in sets]
+        self.row = np.repeat(np.arange(len(sets)), [len(x) for x in own])
+        self.col = np.array([i for x in own for i in x], np.int64)
+        self.n = len(sets)
+
+
+def _fit_link(name: str, held: _Held, rows: np.ndarray, labels: np.ndarray, earlier: np.ndarray, most_words: int, penalty: float, steps: int) -> Link:
+    n, y = len(rows), labels[rows]
     if not n or y.min() == y.max():
         share = float(y.mean()) if n else 0.0
         return Link(name, float(np.log((share + 1e-9) / (1 - share + 1e-9))), {}, [0.0] * earlier.shape[1])
-    count: dict[bytes, list[int]] = {}
-    for s, of in zip(sets, y.astype(int).tolist(), strict=True):
-        for w in s:
-            c = count.get(w)
-            if c is None:
-                count[w] = c = [0, 0]
-            c[of] += 1
-    words = sorted(w for w, c in count.items() if c[0] + c[1] >= 5)
-    held = np.array([count[w] for w in words], np.float64).reshape(-1, 2)
-    ones, df = float(y.sum()), held.sum(1)
+    place = np.full(held.n, -1)
+    place[rows] = np.arange(n)
+    mine = place[held.row] >= 0
+    row, col = place[held.row[mine]], held.col[mine]
+    df, pos, ones = np.bincount(col, minlength=len(held.words)), np.bincount(col, y[row], len(held.words)), y.sum()
     expected = df * ones / n
-    score = (held[:, 1] - expected) ** 2 / np.maximum(expected * (1 - df / n) * (1 - ones / n), 1e-9)
-    chosen = [words[i] for i in np.argsort(-score, kind="stable")[:most_words]]
-    index = {w: i for i, w in enumerate(chosen)}
+    score = np.where(df > 0, (pos - expected) ** 2 / np.maximum(expected * (1 - df / n) * (1 - ones / n), 1e-9), -1)
+    chosen = np.argsort(-score, kind="stable")[:most_words]
+    # Of features that the same texts hold, such as a word and its beginnings, the longest stands for all.
+    best: dict[float, int] = {}
+    sign = np.bincount(col, np.random.default_rng(0).random(n)[row], len(held.words))
+    for i in chosen.tolist():
+        k = best.setdefault(float(sign[i]), i)
+        if len(held.words[i]) > len(held.words[k]):
+            best[float(sign[i])] = i
+    chosen = np.array(list(best.values()), np.int64)
+    at = np.full(len(held.words), -1)
+    at[chosen] = np.arange(len(chosen))
     x = np.zeros((n, len(chosen) + earlier.shape[1]), np.float32)
-    for row, s in enumerate(sets):
-        x[row, [index[w] for w in s & index.keys()]] = 1
-    x[:, len(chosen) :] = earlier
+    used = at[col] >= 0
+    x[row[used], at[col[used]]] = 1
+    x[:, len(chosen) :] = earlier[rows]
     weights, bias = _lasso(x, y, earlier.shape[1], penalty, steps)
-    return Link(name, bias, {w: float(v) for w, v in zip(chosen, weights[: len(chosen)], strict=True) if v}, weights[len(chosen) :].tolist())
+    return Link(name, bias, {held.words[i]: float(v) for i, v in zip(chosen.tolist(), weights[: len(chosen)], strict=True) if v}, weights[len(chosen) :].tolist())
 
 
-def fit_chain(texts: list[bytes], labels: pd.DataFrame, *, folds: int = 5, most_words: int = WORDS, penalty: float = 1e-3, steps: int = 150, seed: int = 3) -> list[Link]:
+def fit_chain(texts: list[bytes], labels: pd.DataFrame, *, folds: int = 5, most_words: int = WORDS, penalty: float = 1e-4, steps: int = 500, seed: int = 3) -> list[Link]:
     """A link for each column of ``labels``, in their order."""
     sets = [word_set(t) for t in texts]
-    n, k = len(sets), labels.shape[1]
-    fold = np.random.default_rng(seed).permutation(n) % folds
+    held, n, k = _Held(sets), len(sets), labels.shape[1]
+    fold, every = np.random.default_rng(seed).permutation(n) % folds, np.arange(n)
     out_of_fold = np.zeros((n, k), np.float64)
     links = []
     for j, name in enumerate(labels.columns):
         y, before = labels[name].to_numpy(np.float64), out_of_fold[:, :j]
         if j + 1 < k:  # the last one's own predictions feed nothing
             for f in range(folds):
-                own, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
-                part = _fit_link(name, [sets[i] for i in rest], y[rest], before[rest], most_words, penalty, steps)
+                own = np.flatnonzero(fold == f)
+                part = _fit_link(name, held, np.flatnonzero(fold != f), y, before, most_words, penalty, steps)
                 out_of_fold[own, j] = part.predict([sets[i] for i in own], before[own])
-        links.append(_fit_link(name, sets, y, before, most_words, penalty, steps))
+        links.append(_fit_link(name, held, every, y, before, most_words, penalty, steps))
     return links
 
 
