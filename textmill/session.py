@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -22,3 +28,18 @@ def session(app: str = "textmill", master: str | None = None, **conf: str) -> Sp
     for key, value in {**DEFAULTS, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per context, so that Python workers can import it anywhere."""
+    context = spark.sparkContext
+    if getattr(context, "_textmill_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp(prefix="textmill-code-"))
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(folder / "textmill_code.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for at in sorted(root.rglob("*.py")):
+            z.write(at, f"{root.name}/{at.relative_to(root)}")
+    context.addPyFile(str(folder / "textmill_code.zip"))
+    context._textmill_shipped = True
