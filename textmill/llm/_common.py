@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmill.session import ship
+
 #: Words of the digests that split on ASCII white space only; ``bytes.split()`` does the same.
 ASCII_SPACE = " \t\n\r\x0b\x0c"
 
@@ -24,6 +26,7 @@ _written: list[Path] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -100,6 +103,7 @@ def slices(texts: pa.Array, target: int = 1 << 20) -> Iterator[tuple[int, list[b
 
 def text_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under names of our own: other columns can't clash."""
+    ship(df.sparkSession)
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
@@ -119,6 +123,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def byte_symbols() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in set(shown) else chr(next(hidden)) for b in range(256)]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

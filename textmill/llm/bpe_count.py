@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm._common import slices, text_of
+from textmill.llm._common import byte_symbols, slices, text_of
 
 #: Segments and pieces that a worker remembers; beyond it the memory starts afresh.
 REMEMBERED = 600_000
@@ -33,13 +33,6 @@ _SEGMENT = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _counters: dict[str, HeapCounter] = {}
 
 
-def _byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = iter(range(256, 512))
-    return [chr(b) if b in set(shown) else chr(next(hidden)) for b in range(256)]
-
-
 class HeapCounter:
     """Counts of the tokens that a byte-level BPE file of the ``tokenizers`` library gives."""
 
@@ -52,7 +45,7 @@ class HeapCounter:
         if pre["type"] != "ByteLevel" or not pre.get("use_regex") or pre["add_prefix_space"] or config.get("normalizer") or model["type"] != "BPE" or model.get("ignore_merges"):
             raise ValueError("only plain byte-level BPE files can be counted")
         vocab = model["vocab"]
-        self.byte_id = [vocab[c] for c in _byte_symbols()]
+        self.byte_id = [vocab[c] for c in byte_symbols()]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.rank = {vocab[a] << 20 | vocab[b]: k for k, (a, b) in enumerate(pairs)}
         self.made = [vocab[a + b] for a, b in pairs]

@@ -122,7 +122,7 @@ def _fit(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": rows["key"], "size": rows["size"], "whole": whole, "quota": chosen, "source_size": words, "target": target})
 
 
-def mix(docs: DataFrame, *, weights: list[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, size: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, *, weights: list[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, size: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_tie: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target, times, taken for every row.
 
     ``times`` says how often the mix repeats the document, ``taken`` the words
@@ -156,5 +156,22 @@ def mix(docs: DataFrame, *, weights: list[float] = (3, 1, 2), share: float = 1.5
     return (
         narrow.join(quota, ["key", "size", "slot"])
         .withColumn("times", (F.col("whole") + (rank <= F.col("quota")).cast("long")).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
+        .select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"), *(["tie"] if keep_tie else []))
     )
+
+
+def repeat(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with their own columns.
+
+    Rows equal in id and text share what the mix takes of them.
+    """
+    names = docs.columns
+    text, own_id = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`").cast("long")
+    taken = mix(docs, id_col=id_col, text_col=text_col, keep_tie=True, **how)
+    wanted = taken.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__k"), F.col("tie").alias("__tie")).agg(F.count("*").alias("__n"), F.sum("times").alias("__t"))
+    keyed = docs.withColumn("__k", F.coalesce(own_id.cast("string"), F.lit(""))).withColumn("__tie", F.xxhash64(text))
+    found = keyed.join(wanted.where("__t > 0"), ["__k", "__tie"])
+    row = F.row_number().over(Window.partitionBy("__k", "__tie").orderBy("__k"))
+    times = F.floor(F.col("__t") / F.col("__n")) + (row <= F.col("__t") % F.col("__n")).cast("long")
+    numbered = found.withColumn("__times", times.cast("int")).where("__times > 0")
+    return numbered.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in names])

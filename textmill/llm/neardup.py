@@ -284,3 +284,12 @@ def near_duplicates(docs: DataFrame, *, k: int = 3, percent: int = 85, bands: in
     out = rows_of.select("doc_id", "n", "digest").join(component, "digest", "left")
     mine = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), mine.alias("component_id"), F.coalesce(mine == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
+    """The rows of ``docs`` that stay, with their own columns: of each component, the smallest id.
+
+    Rows with one id are one document, and stay or go together.
+    """
+    gone = near_duplicates(docs, id_col=id_col, **how).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
