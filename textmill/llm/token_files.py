@@ -24,9 +24,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +36,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textmill.llm._common import local_path, shuffle_partitions, slices, text_of
+from textmill.llm._common import byte_symbols, local_path, shuffle_partitions, slices, text_of
 
 NULL_ID = np.iinfo(np.int64).min
-#: Words that a worker remembers; beyond it the memory starts afresh.
-REMEMBERED = 400_000
+#: Words and pieces of words that a worker remembers; beyond them the memory starts afresh.
+REMEMBERED, REMEMBERED_PIECES = 700_000, 250_000
 MANIFEST = "shard int, n_docs long, n_tokens long, width int"
 #: Splitters that drop white space, so that no token spans it: such tokenizers may be asked word by word.
 _WORDWISE = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
 _WORDWISE_NORMALIZERS = {"NFC", "Lowercase", "Replace"}
+# Words of these characters are their own normal form but for case, and fall into the pieces that the splitter gives.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+_PIECES = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+").findall
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -79,24 +84,49 @@ class WordEncoder:
         self.lib.no_padding()
         self.batch = getattr(self.lib, "encode_batch_fast", self.lib.encode_batch)
         with open(path, encoding="utf-8") as f:
-            self.wordwise = _is_wordwise(json.load(f))
+            config = json.load(f)
+        self.wordwise = _is_wordwise(config)
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in config["added_tokens"]) or "(?!)").search
+        self.model, self.symbols = self.lib.model, byte_symbols()
         self.vocabulary = self.lib.get_vocab_size(with_added_tokens=True)
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
         self.flat, self.used = np.empty(1 << 20, np.uint32), 0
         self.starts, self.lens = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
 
+    def _each(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.batch(words, add_special_tokens=False)]
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        """Ids of a piece by the library's model alone, as the pre-tokenizer would hand it over."""
+        return tuple([t.id for t in self.model.tokenize(piece if piece.isascii() else "".join(map(self.symbols.__getitem__, piece.encode("utf-8"))))])
+
     def _learn(self, words: list[bytes]) -> None:
-        found = [e.ids for e in self.batch([w.decode("utf-8") for w in words], add_special_tokens=False)]
+        split: list[list[str] | None] = []
+        odd: list[str] = []
+        for w in words:
+            text = w.decode("utf-8")
+            if _PLAIN(text) and not self.special(text):
+                split.append(_PIECES(text.lower()))
+            else:
+                split.append(None)
+                odd.append(text)
+        if len(self.pieces) > REMEMBERED_PIECES:
+            self.pieces = {}
+        known, rest = self.pieces, iter(self._each(odd))
+        for p in {p for ps in split if ps for p in ps}.difference(known):
+            known[p] = self._piece(p)
+        found = [next(rest) if ps is None else known[ps[0]] if len(ps) == 1 else [i for p in ps for i in known[p]] for ps in split]
         lens = np.fromiter(map(len, found), np.int64, len(found))
         total, n = int(lens.sum()), len(self.known)
         while self.used + total > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         while n + len(words) > len(self.lens):
             self.starts, self.lens = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lens, 2 * len(self.lens))
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
         self.lens[n : n + len(words)] = lens
         self.starts[n : n + len(words)] = self.used + np.cumsum(lens) - lens
         self.used += total
@@ -115,7 +145,7 @@ class WordEncoder:
         if new:
             self._learn(sorted(new))
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        codes = np.fromiter((self.known[w] for ws in split for w in ws), np.int64, int(counts.sum()))
+        codes = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         per_word = self.lens[codes]
         ends = np.cumsum(per_word)
         total = int(ends[-1]) if len(ends) else 0
