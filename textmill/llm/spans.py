@@ -5,7 +5,7 @@ space.  Every run of ``run`` consecutive sentences is hashed, of the sentences'
 with A-Z in lower case.  Runs are joined over all texts; the first occurrence, by
 document id and place, stays, and all sentences covered by any other occurrence
 are removed.  Runs of fewer than ``min_words`` words don't count: such sentences recur
-by chance.
+by chance.  A sentence of ``alone_words`` words or more is a run by itself.
 
 Hashes of runs that occur once are dropped after partial counts.  A run that a
 third of all documents share is one row of counts; joining it back to its many
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from textmill.llm._common import materialize, slices
+from textmill.session import ship
 
 #: Hashes broadcast at most: 16 bytes of hash and place each.
 MOST_HOT = 100_000
@@ -50,41 +51,49 @@ def sentences(text: bytes) -> list[tuple[int, int]]:
     return out
 
 
-def runs(text: bytes, run: int, min_words: int) -> tuple[int, list[int], list[int]]:
-    """Number of sentences; hash and first sentence of each run that counts."""
+def runs(text: bytes, run: int, min_words: int, alone_words: int) -> tuple[int, list[int], list[int], list[int]]:
+    """Number of sentences; hash, first sentence and number of sentences of each run that counts."""
     spans = sentences(text)
-    if len(spans) < run:
-        return len(spans), [], []
+    if not spans:
+        return 0, [], [], []
     low = text.translate(_LOWER)
     words = [low[a:b].split() for a, b in spans]
     # Sentences are hashed once; a run is the hash of its sentences' hashes.
     own = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(w)) for w in words), np.uint64, len(words))
-    n = len(own) - run + 1
-    h = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(run):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + own[j : j + n]
-            h ^= h >> np.uint64(29)
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            h ^= h >> np.uint64(32)
     total = np.cumsum([0, *map(len, words)])
-    good = np.flatnonzero(total[run:] - total[:-run] >= min_words)
-    return len(spans), h[good].view(np.int64).tolist(), good.tolist()
-
-
-def _runs(run: int, min_words: int):
-    kind = pa.struct([("h", pa.int64()), ("at", pa.int32())])
-
-    @F.arrow_udf("array<struct<h: long, at: int>>")
+    hs, ats, ms = [], [], []
+    for m, least in ((run, min_words), (1, alone_words)):
+        n = len(own) - m + 1
+        good = np.flatnonzero(total[m:] - total[:-m] >= least) if n > 0 else []
+        if not len(good) or (m == 1 and run == 1 and hs):
+            continue
+        h = np.full(n, m, np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(m):
+                h = h * np.uint64(0x9E3779B97F4A7C15) + own[j : j + n]
+                h ^= h >> np.uint64(29)
+                h *= np.uint64(0xBF58476D1CE4E5B9)
+                h ^= h >> np.uint64(32)
+        hs += h[good].view(np.int64).tolist()
+        ats += good.tolist()
+        ms += [m] * len(good)
+    return len(spans), hs, ats, ms
+
+
+def _runs(run: int, min_words: int, alone_words: int):
+    kind = pa.struct([("h", pa.int64()), ("at", pa.int32()), ("m", pa.int32())])
+
+    @F.arrow_udf("array<struct<h: long, at: int, m: int>>")
     def listed(texts: pa.Array) -> pa.Array:
-        hs, ats, ends = [], [], [0]
+        hs, ats, ms, ends = [], [], [], [0]
         for _, part in slices(texts):
             for t in part:
-                _, h, at = runs(t, run, min_words)
+                _, h, at, m = runs(t, run, min_words, alone_words)
                 hs += h
                 ats += at
+                ms += m
                 ends.append(len(hs))
-        flat = pa.StructArray.from_arrays([pa.array(hs, pa.int64()), pa.array(ats, pa.int32())], fields=list(kind))
+        flat = pa.StructArray.from_arrays([pa.array(hs, pa.int64()), pa.array(ats, pa.int32()), pa.array(ms, pa.int32())], fields=list(kind))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
 
     return listed
@@ -107,25 +116,26 @@ def drop_sentences(text: bytes, gone: list[int]) -> tuple[bytes, list[tuple[int,
     return b"".join([*kept, text[at:]]), cut
 
 
-_CLEAN = "n_sentences long, clean string, cuts array<struct<a: long, b: long>>, n_words_removed long"
+_CLEAN = "n_sentences long, n_removed long, clean string, cuts array<struct<a: long, b: long>>, n_words_removed long"
 
 
-def _clean(run: int):
+def _clean():
     pair = pa.struct([("a", pa.int64()), ("b", pa.int64())])
 
     @F.arrow_udf(_CLEAN)
     def clean(texts: pa.Array, starts: pa.Array) -> pa.Array:
-        n, out, cuts, lost = [], [], [], []
+        n, removed, out, cuts, lost = [], [], [], [], []
         starts = starts.to_pylist()
         for first, part in slices(texts):
             for i, t in enumerate(part):
                 n.append(len(sentences(t)))
-                gone = sorted({s + j for s in starts[first + i] or [] for j in range(run)})
+                gone = sorted({s["at"] + j for s in starts[first + i] or [] for j in range(s["m"])})
+                removed.append(len(gone))
                 text, cut = drop_sentences(t, gone) if gone else (t, [])
                 out.append(text.decode("utf-8"))
                 cuts.append([{"a": a, "b": b} for a, b in cut])
                 lost.append(sum(len(t[a:b].split()) for a, b in cut))
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(out, pa.string()), pa.array(cuts, pa.list_(pair)), pa.array(lost, pa.int64())], names=["n_sentences", "clean", "cuts", "n_words_removed"])
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string()), pa.array(cuts, pa.list_(pair)), pa.array(lost, pa.int64())], names=["n_sentences", "n_removed", "clean", "cuts", "n_words_removed"])
 
     return clean
 
@@ -135,20 +145,21 @@ def crc32_of(texts: pa.Array) -> pa.Array:
     return pa.array([zlib.crc32(t) for _, part in slices(texts) for t in part], pa.int64())
 
 
-def dedup_spans(docs: DataFrame, *, run: int = 3, min_words: int = 20, hot: int = 5000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_spans(docs: DataFrame, *, run: int = 2, min_words: int = 20, alone_words: int = 40, hot: int = 5000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, n_sentences, n_removed, cuts (byte spans), n_words_removed for every row."""
+    ship(docs.sparkSession)
     text = F.col(f"`{text_col}`").cast("string")
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
     # An order of all rows: the id, then the text's hash.
     keyed = own.withColumn("key", F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("tie")))
-    places = materialize(keyed.select("key", F.explode(_runs(run, min_words)("text")).alias("r")).select(F.col("r.h").alias("h"), "key", F.col("r.at").alias("at")), "runs")
+    places = keyed.select("key", F.explode(_runs(run, min_words, alone_words)("text")).alias("r")).select(F.col("r.h").alias("h"), "key", F.col("r.at").alias("at"), F.col("r.m").alias("m"))
+    places = materialize(places, "runs")
     repeated = materialize(places.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("first")).where("n > 1"), "repeated")
     hots = repeated.where(F.col("n") > hot)
     if hots.limit(MOST_HOT + 1).count() <= MOST_HOT:
         most = places.join(F.broadcast(hots), "h").unionAll(places.join(repeated.where(F.col("n") <= hot), "h"))
     else:
         most = places.join(repeated, "h")
-    later = most.where(F.struct("key", "at") > F.col("first")).groupBy("key").agg(F.collect_set("at").alias("starts"))
-    found = keyed.join(later, "key", "left").withColumn("c", _clean(run)("text", "starts"))
-    removed = F.coalesce(F.size(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + run - 1))))), F.lit(0))
-    return found.select("doc_id", F.col("c.clean").alias("text"), F.col("c.n_sentences").alias("n_sentences"), F.when(F.col("starts").isNull(), 0).otherwise(removed).cast("long").alias("n_removed"), F.col("c.cuts").alias("cuts"), F.col("c.n_words_removed").alias("n_words_removed"))
+    later = most.where(F.struct("key", "at") > F.col("first")).groupBy("key").agg(F.collect_set(F.struct("at", "m")).alias("starts"))
+    found = keyed.join(later, "key", "left").withColumn("c", _clean()("text", "starts"))
+    return found.select("doc_id", F.col("c.clean").alias("text"), *[F.col(f"c.{x}").alias(x) for x in ("n_sentences", "n_removed", "cuts", "n_words_removed")])
