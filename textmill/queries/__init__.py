@@ -16,6 +16,9 @@ class Query:
     sql: str | None = None
 
 
+#: Tokens at white space, as a table expression: t(doc_id, lang, source, token, pos).
+TOKENS = "tok AS (SELECT doc_id, lang, source, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents), t AS (SELECT doc_id, lang, source, unnest(w) AS token, unnest(range(len(w))) AS pos FROM tok)"
+
 REGISTRY: dict[str, Query] = {}
 
 
@@ -36,6 +39,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> dict[str, Query]:
-    from textmill.queries import corpus  # noqa: F401
+    from textmill.queries import analysis, corpus, text, tokens  # noqa: F401
 
     return REGISTRY
