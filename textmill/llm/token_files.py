@@ -39,15 +39,15 @@ from pyspark.sql import functions as F
 from textmill.llm._common import byte_symbols, local_path, shuffle_partitions, slices, text_of
 
 NULL_ID = np.iinfo(np.int64).min
-#: Words and pieces of words that a worker remembers; beyond them the memory starts afresh.
-REMEMBERED, REMEMBERED_PIECES = 700_000, 250_000
+#: Pieces and words that a worker remembers; beyond it the memory starts afresh.
+REMEMBERED = 900_000
 MANIFEST = "shard int, n_docs long, n_tokens long, width int"
 #: Splitters that drop white space, so that no token spans it: such tokenizers may be asked word by word.
 _WORDWISE = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
 _WORDWISE_NORMALIZERS = {"NFC", "Lowercase", "Replace"}
-# Words of these characters are their own normal form but for case, and fall into the pieces that the splitter gives.
-_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
-_PIECES = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+").findall
+# Texts of these characters are their own normal form but for case, and fall into the pieces that the splitter gives.
+_ODD = re.compile("[^\\t-\\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]").search
+_PIECES = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^a-z0-9\\t-\\r \u00df-\u00f6\u00f8-\u00ff]+").findall
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -71,8 +71,10 @@ class WordEncoder:
     """Ids of whole texts by the ``tokenizers`` library.
 
     Where the tokenizer's own rules drop white space before anything else can
-    see across it, each distinct word is given to the library once and its ids
-    are remembered; otherwise whole texts are.
+    see across it, each distinct piece that its splitter makes is given to the
+    library's model once and its ids are remembered.  Texts whose pieces are not
+    plain (other scripts, special strings) go to the library word by word, and
+    with any other tokenizer whole texts do.
     """
 
     def __init__(self, path: str):
@@ -92,34 +94,23 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        # Pieces are strings, whole words bytes, so that the two can't be confused.
+        self.known: dict[str | bytes, int] = {}
         self.flat, self.used = np.empty(1 << 20, np.uint32), 0
         self.starts, self.lens = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
 
-    def _each(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.batch(words, add_special_tokens=False)]
+    def _split(self, text: bytes) -> list[str] | list[bytes]:
+        plain = text.decode("utf-8")
+        return text.split() if _ODD(plain) or self.special(plain) else _PIECES(plain.lower())
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        """Ids of a piece by the library's model alone, as the pre-tokenizer would hand it over."""
-        return tuple([t.id for t in self.model.tokenize(piece if piece.isascii() else "".join(map(self.symbols.__getitem__, piece.encode("utf-8"))))])
+    def _ids(self, piece: str | bytes) -> list[int]:
+        """Ids of a piece by the library's model alone, as the pre-tokenizer would hand it over; of a word by the whole library."""
+        if isinstance(piece, bytes):
+            return self.lib.encode(piece.decode("utf-8"), add_special_tokens=False).ids
+        return [t.id for t in self.model.tokenize(piece if piece.isascii() else "".join(map(self.symbols.__getitem__, piece.encode("utf-8"))))]
 
-    def _learn(self, words: list[bytes]) -> None:
-        split: list[list[str] | None] = []
-        odd: list[str] = []
-        for w in words:
-            text = w.decode("utf-8")
-            if _PLAIN(text) and not self.special(text):
-                split.append(_PIECES(text.lower()))
-            else:
-                split.append(None)
-                odd.append(text)
-        if len(self.pieces) > REMEMBERED_PIECES:
-            self.pieces = {}
-        known, rest = self.pieces, iter(self._each(odd))
-        for p in {p for ps in split if ps for p in ps}.difference(known):
-            known[p] = self._piece(p)
-        found = [next(rest) if ps is None else known[ps[0]] if len(ps) == 1 else [i for p in ps for i in known[p]] for ps in split]
+    def _learn(self, words: list[str | bytes]) -> None:
+        found = list(map(self._ids, words))
         lens = np.fromiter(map(len, found), np.int64, len(found))
         total, n = int(lens.sum()), len(self.known)
         while self.used + total > len(self.flat):
@@ -138,12 +129,12 @@ class WordEncoder:
             found = [e.ids + ([end] if end is not None else []) for e in self.batch([t.decode("utf-8") for t in texts], add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             return np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum())), sizes
-        split = [t.split() for t in texts]
+        split = list(map(self._split, texts))
         if len(self.known) > REMEMBERED:
             self._forget()
         new = set().union(*split).difference(self.known)
         if new:
-            self._learn(sorted(new))
+            self._learn(list(new))
         counts = np.fromiter(map(len, split), np.int64, len(split))
         codes = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         per_word = self.lens[codes]
