@@ -14,11 +14,11 @@ whole sequence as one.  Two documents are linked if ``100 * |A & B| >= percent *
    pairs than members.
 4. Components follow from the links by alternating large-star and small-star.
 5. What step 3 may have missed are pairs of one bucket that are in different
-   components.  Buckets whose members are all in one component are done.  In the
-   others, small ones compare what is left outright; larger ones are cut first by
-   an exact prefix rule (linked sets share one of each other's rarest shingles)
-   and then compare with one member after another.  Links found update the
-   components; the steps end when no bucket has unseen pairs across components.
+   components.  Buckets whose members are all in one component are done.  The
+   members of the others go through an exact prefix rule (linked sets share one
+   of each other's rarest shingles), which splits them into families; families
+   that still span components are compared in blocks, every two blocks in one
+   task, which gives back only links that join components.
 
 At 28 bands of 5 rows two sets at the threshold of 85 % share no band with
 probability 1e-7.
@@ -32,8 +32,8 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +42,8 @@ from textmill.llm._common import materialize, mix64, slices, text_of
 from textmill.llm.components import components
 
 BANDS, ROWS = 28, 5
-#: Buckets up to this size compare their remaining pairs at once; larger ones go through the prefix rule.
-SMALL = 24
+#: Members in a block when the rest of a bucket is compared.
+BLOCK = 256
 #: Words that a worker remembers the hash of; beyond it the memory starts afresh.
 REMEMBERED = 500_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -209,56 +209,88 @@ class _Links:
             .select("a", "b")
             .distinct()
         )
-        found = materialize(found, "links")
+        self.add(materialize(found, "links"))
+
+    def add(self, found: DataFrame) -> None:
         self.links = found if self.links is None else self.links.unionAll(found)
         self.comps = materialize(components(self.links), "components")
 
     def spread(self, buckets: DataFrame) -> DataFrame:
         """Members (bucket, id) of buckets that span more than one component, with the component."""
         own = buckets.join(self.comps, "id", "left").select("bucket", "id", F.coalesce("component_id", "id").alias("c"))
-        several = own.groupBy("bucket").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("pivot")).where("lo < hi")
-        return own.join(several.select("bucket", "n", "pivot"), "bucket")
-
-
-def _all_pairs(members: DataFrame) -> DataFrame:
-    """Pairs across components within buckets of bounded size."""
-    b = members.select("bucket", F.col("id").alias("b"), F.col("c").alias("d"))
-    return members.select("bucket", F.col("id").alias("a"), "c").join(b, "bucket").where("a < b and c <> d").select("a", "b").distinct()
+        several = own.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
+        return own.join(several.select("bucket"), "bucket")
+
+
+def _block_links(percent: int, k: int):
+    """Links across components within one pair of blocks of a family; of those that join the same two, one."""
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id").drop_duplicates("id")
+        sets = shingles([(t or "").encode("utf-8") for t in rows["text"]], k)
+        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        every, code, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        del every
+        owner = np.repeat(np.arange(len(sets)), n)
+        # A shingle of one member adds to no overlap.
+        used = df[code] > 1
+        code, owner = np.unique(code[used], return_inverse=True)[1], owner[used]
+        order = np.argsort(code, kind="stable")
+        code, owner = code[order], owner[order]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        last = int(code[-1]) + 1 if len(code) else 0
+        for at in range(0, last, 4096):
+            lo, hi = np.searchsorted(code, [at, at + 4096])
+            x = np.zeros((len(sets), min(4096, last - at)), np.float32)
+            x[owner[lo:hi], code[lo:hi] - at] = 1
+            both += x @ x.T
+        near = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+        near &= rows["c"].to_numpy()[:, None] != rows["c"].to_numpy()[None, :]
+        head = {c: c for c in rows["c"].tolist()}
+
+        def top(c: int) -> int:
+            while head[c] != c:
+                head[c] = c = head[head[c]]
+            return c
+
+        ids, comp, out = rows["id"].tolist(), rows["c"].tolist(), []
+        for i, j in np.argwhere(np.triu(near)).tolist():
+            a, b = top(comp[i]), top(comp[j])
+            if a != b:
+                head[max(a, b)] = min(a, b)
+                out.append((ids[i], ids[j]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return compare
 
 
 def _resolve(links: _Links, buckets: DataFrame) -> None:
     """Find the links across components within buckets whose smallest member was already compared."""
     # The smallest member has met all others; without it a bucket of two has nothing left.
     rest = buckets.join(buckets.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 2"), "bucket").where("id <> pivot").select("bucket", "id")
-    left = materialize(links.spread(rest), "rest")
-    few = left.where(F.col("n") <= SMALL)
-    if not few.isEmpty():
-        links.verify(_all_pairs(few))
-    many = left.where(F.col("n") > SMALL)
-    if many.isEmpty():
+    ids = materialize(links.spread(rest).select("id").distinct(), "rest")
+    if ids.isEmpty():
         return
-    # Prefix rule over the rest: with shingles ordered by rarity among these members, two linked sets share
-    # one of their first n - ceil(share * n) + 1.  Members meet only where they share such a shingle.
-    ids = many.select("id").distinct()
-    own = links.texts.join(ids, "id", "left_semi").select("id", F.explode(_prefixes(links.k)("text")).alias("s"))
-    own = materialize(own, "shingles")
+    # Prefix rule: with shingles ordered by rarity among these members, two linked sets share one of their
+    # first n - ceil(share * n) + 1.  Members that share such a shingle, through others too, are a family.
+    texts = links.texts.join(ids, "id", "left_semi")
+    own = materialize(texts.select("id", F.explode(_prefixes(links.k)("text")).alias("s")).distinct(), "shingles")
     rarity = own.groupBy("s").agg(F.count("*").alias("df"))
     ranked = own.join(rarity, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("all"))
     size = F.size("all")
     keep = (size - F.ceil(size * F.lit(links.percent) / 100) + 1).cast("int")
-    firsts = ranked.select("id", F.explode(F.slice("all", F.lit(1), keep)).alias("x")).select("id", F.col("x.s").alias("bucket"))
-    shared = firsts.join(firsts.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket"), "bucket", "left_semi")
-    todo = materialize(shared, "prefixes")
-    while True:
-        left = materialize(links.spread(todo), "rest")
-        if left.isEmpty():
-            return
-        few, many = left.where(F.col("n") <= SMALL), left.where(F.col("n") > SMALL)
-        star = many.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"), "bucket", "c")
-        heads = many.where("id = pivot").select("bucket", F.col("c").alias("d"))
-        pairs = star.join(heads, "bucket").where("c <> d").select("a", "b").distinct()
-        links.verify(_all_pairs(few).unionAll(pairs).distinct())
-        todo = materialize(many.where("id <> pivot").select("bucket", "id"), "prefixes")
+    firsts = ranked.select("id", F.explode(F.filter(F.slice("all", F.lit(1), keep), lambda x: x["df"] > 1)).alias("x")).select("id", F.col("x.s").alias("s"))
+    firsts = materialize(firsts, "prefixes")
+    heads = firsts.groupBy("s").agg(F.min("id").alias("head"))
+    families = components(firsts.join(heads, "s").select("id", "head"))
+    own = families.join(links.comps.withColumnRenamed("component_id", "c"), "id", "left").select("id", F.col("component_id").alias("family"), F.coalesce("c", "id").alias("c"))
+    several = own.groupBy("family").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
+    # A family is cut into blocks, and every two blocks meet in one task.
+    member = own.join(several.select("family", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "family").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = member.select("id", "c", "family", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("id", "c", "family", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    found = met.join(texts, "id").groupBy("family", "i", "j").applyInPandas(_block_links(links.percent, links.k), "a long, b long")
+    links.add(materialize(found, "links"))
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 3, percent: int = 85, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
