@@ -140,7 +140,7 @@ def read_parquet(spark: SparkSession, path: str, *, name_col: str = "name", text
 
 def read_lines(spark: SparkSession, path: str, *, start: int = 1, pad: int = 3) -> DataFrame:
     """A document for each line of a file, named text001 and so on in the order of lines."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("i", "text"))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("i", "text"))
     return lines.select(F.concat(F.lit("text"), F.lpad((F.col("i") + start).cast("string"), pad, "0")).alias("name"), "path", F.lit("text/plain").alias("mime_type"), "text")
 
 

@@ -37,7 +37,7 @@ def save_corpus(records: DataFrame, folder: str, metadata: dict | None = None) -
 
 
 def load_corpus(spark: SparkSession, folder: str) -> tuple[DataFrame, dict]:
-    return spark.read.parquet(f"{folder}/records"), json.loads(spark.read.option("wholetext", True).text(f"{folder}/metadata").first()[0])
+    return spark.read.parquet(f"{folder}/records"), json.loads(spark.read.text(f"{folder}/metadata", wholetext=True).first()[0])
 
 
 def record_bytes(record: dict) -> bytes:
