@@ -7,7 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from urllib.parse import urlparse
 
@@ -107,6 +107,48 @@ def text_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+#: Bits of a filter that ``maybe_in`` broadcasts: 4 MB, whatever the number of ids.
+FILTER_BITS = 1 << 25
+
+
+def _filter_places(h: np.ndarray) -> np.ndarray:
+    """Three places in the filter for each 64-bit hash."""
+    h = h.view(np.uint64)
+    step = (h >> np.uint64(32)) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        return np.stack([(h + np.uint64(i) * step) % np.uint64(FILTER_BITS) for i in range(3)])
+
+
+def maybe_in(ids: DataFrame) -> Callable[[Column], Column]:
+    """A test of an id that is true for every id in ``ids`` (one long column) and false for most others.
+
+    It is a Bloom filter of a fixed size, so it can be broadcast at any scale; with
+    very many ids it lets more through, never less.  Rows that it drops needn't be
+    shuffled to a join with ``ids``.
+    """
+    spark = ids.sparkSession
+    ship(spark)
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(_filter_places(batch.column(0).to_numpy()))
+            word, first = np.unique(at >> np.uint64(6), return_index=True)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], names=["w", "b"])
+
+    found = ids.select(F.xxhash64(F.col(ids.columns[0]).cast("long"))).mapInArrow(words, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(FILTER_BITS >> 6, np.uint64)
+    bits[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+    sent = spark.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def test(hashes: pa.Array) -> pa.Array:
+        at = _filter_places(hashes.to_numpy())
+        return pa.array(((sent.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(0))
+
+    return lambda column: test(F.xxhash64(column.cast("long")))
+
+
 def n_words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm._common import materialize, mix64, slices, text_of
+from textmill.llm._common import materialize, maybe_in, mix64, slices, text_of
 from textmill.llm.components import components
 
 BANDS, ROWS = 28, 5
@@ -192,7 +192,8 @@ class _Links:
 
     def verify(self, pairs: DataFrame) -> None:
         """Compare pairs (a, b) by signature, then on full sets; keep the links and renew the components."""
-        sig = self.sketches.select("id", "signature")
+        some = maybe_in(pairs.select("a").unionAll(pairs.select("b")))
+        sig = self.sketches.where(some(F.col("id"))).select("id", "signature")
         near = (
             pairs.join(sig.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a")
             .join(sig.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b")
@@ -201,7 +202,7 @@ class _Links:
         )
         near = materialize(near, "near")
         ids = near.select(F.col("a").alias("id")).unionAll(near.select("b")).distinct()
-        text = self.texts.join(ids, "id", "left_semi")
+        text = self.fetch(ids)
         found = (
             near.join(text.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
             .join(text.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
@@ -211,6 +212,11 @@ class _Links:
         )
         self.add(materialize(found, "links"))
 
+    def fetch(self, ids: DataFrame) -> DataFrame:
+        """Texts of some ids, written once; other texts are dropped where they lie, before any shuffle."""
+        some = maybe_in(ids)
+        return materialize(self.texts.where(some(F.col("id"))).join(ids, "id", "left_semi"), "texts")
+
     def add(self, found: DataFrame) -> None:
         self.links = found if self.links is None else self.links.unionAll(found)
         self.comps = materialize(components(self.links), "components")
@@ -273,7 +279,7 @@ def _resolve(links: _Links, buckets: DataFrame) -> None:
         return
     # Prefix rule: with shingles ordered by rarity among these members, two linked sets share one of their
     # first n - ceil(share * n) + 1.  Members that share such a shingle, through others too, are a family.
-    texts = links.texts.join(ids, "id", "left_semi")
+    texts = links.fetch(ids)
     own = materialize(texts.select("id", F.explode(_prefixes(links.k)("text")).alias("s")).distinct(), "shingles")
     rarity = own.groupBy("s").agg(F.count("*").alias("df"))
     ranked = own.join(rarity, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("all"))
@@ -309,7 +315,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 3, percent: int = 85, bands: in
     buckets = materialize(values.join(shared, "bucket").select("bucket", "id", "pivot"), "buckets")
 
     links = _Links(texts, classes, k, percent, bands * rows)
-    links.verify(buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
+    links.verify(materialize(buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs"))
     _resolve(links, buckets.select("bucket", "id"))
 
     component = classes.select("digest", "id").join(links.comps, "id", "left").select("digest", F.coalesce("component_id", "id").alias("found"))
@@ -323,5 +329,9 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **how) -> D
 
     Rows with one id are one document, and stay or go together.
     """
-    gone = near_duplicates(docs, id_col=id_col, **how).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
+    gone = materialize(near_duplicates(docs, id_col=id_col, **how).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    own = F.col(f"`{id_col}`").cast("long")
+    some = maybe_in(gone)(own)
+    # Only rows that may be among those that go are shuffled.
+    doubtful = docs.where(F.coalesce(some, F.lit(True)))
+    return docs.where(~some).unionAll(doubtful.join(gone, own == F.col("__gone"), "left_anti"))
