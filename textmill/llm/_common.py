@@ -149,6 +149,14 @@ def maybe_in(ids: DataFrame) -> Callable[[Column], Column]:
     return lambda column: test(F.xxhash64(column.cast("long")))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def n_words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

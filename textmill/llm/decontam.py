@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm._common import materialize, mix64, slices, text_of
+from textmill.llm._common import fresh, materialize, mix64, slices, text_of
 
 #: Windows in a broadcast block: about 150 bytes each, so 150 MB at most.
 BLOCK_WINDOWS = 1_000_000
@@ -165,8 +165,8 @@ def find_contamination(docs: DataFrame, bench: DataFrame, *, n: int = 8, text_co
     windows = materialize(_items(bench, item_col, item_text_col, n), "windows")
     scans = [_scan(spark, block) for block in _blocks(windows, block_windows)] or [_scan(spark, {})]
     text = F.col(f"`{text_col}`").cast("string")
-    out = docs.withColumns({f"__hits{k}": scan(text) for k, scan in enumerate(scans)})
-    names = [f"__hits{k}" for k in range(len(scans))]
+    names = [fresh(docs, f"__hits{k}") for k in range(len(scans))]
+    out = docs.withColumns({name: scan(text) for name, scan in zip(names, scans, strict=True)})
     if len(names) == 1:
         return out.withColumnRenamed(names[0], into)
     joined = F.array_sort(F.flatten(F.array(*[F.col(f"{x}.spans") for x in names])))
@@ -195,7 +195,8 @@ def digest(docs: DataFrame, bench: DataFrame, *, min_items: int = 2, id_col: str
 
 def remove_contaminated(docs: DataFrame, bench: DataFrame, *, min_items: int = 1, text_col: str = "text", **how) -> DataFrame:
     """Documents with fewer than ``min_items`` occurring items, with their own columns."""
-    return find_contamination(docs, bench, text_col=text_col, into="__hits", **how).where(F.size("__hits.items") < min_items).drop("__hits")
+    own = fresh(docs, "__hits")
+    return find_contamination(docs, bench, text_col=text_col, into=own, **how).where(F.size(f"{own}.items") < min_items).drop(own)
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, *, text_col: str = "text", **how) -> DataFrame:
@@ -213,9 +214,10 @@ def remove_spans(docs: DataFrame, bench: DataFrame, *, text_col: str = "text", *
                 out.append(cut_words(t, [(s["a"], s["b"]) for s in all_spans[first + i] or []]).decode("utf-8"))
         return pa.array(out, pa.string())
 
-    found = find_contamination(docs, bench, text_col=text_col, into="__hits", **how)
+    own = fresh(docs, "__hits")
+    found = find_contamination(docs, bench, text_col=text_col, into=own, **how)
     text = F.col(f"`{text_col}`")
-    return found.withColumn(text_col, F.when(F.size("__hits.spans") > 0, cut(text, F.col("__hits.spans"))).otherwise(text)).drop("__hits")
+    return found.withColumn(text_col, F.when(F.size(f"{own}.spans") > 0, cut(text, F.col(f"{own}.spans"))).otherwise(text)).drop(own)
 
 
 def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:

@@ -11,7 +11,8 @@ as a subset sum over exact document lengths:
 3. longest lengths first, single documents are added while they fit, until the
    open budget is at most the bound of the next step;
 4. a bounded-knapsack dynamic program over the remaining counts finds the sum
-   closest to the open budget, as bits of one integer, and the count per length;
+   closest to the open budget, on either side, as bits of one integer, and the
+   count per length;
 5. of each (source, length), that many documents are selected by the smallest
    seeded hash of their id.
 
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmill.llm._common import materialize, n_words
+from textmill.llm._common import fresh, materialize, n_words
 
 #: Bits of the dynamic program: budgets above it are first brought down by single documents.
 DP_BITS = 1 << 16
@@ -60,34 +61,29 @@ def fit_counts(lengths: list[int], counts: list[int], budget: int) -> list[int]:
         k = min(counts[i] - take[i], (rest - DP_BITS + l - 1) // l, rest // l)
         take[i] += k
         rest -= k * l
-    # Sums within [0, rest] first; one bit beyond them, up to the shortest document, decides a closer overshoot.
-    room = min(rest, 2 * DP_BITS)
-    mask = (1 << (room + 1)) - 1
+    # Sums up to one longest document beyond the budget: the closest may lie on either side.
+    most = rest + order[-1][0]
+    mask = (1 << (most + 1)) - 1
     reach, steps = 1, []
     for l, i in order:
         left, power = counts[i] - take[i], 1
-        if l > room:
-            break
-        while left > 0 and not reach >> room & 1:
-            k = min(power, left, room // l)
+        while left > 0 and not reach >> rest & 1:
+            k = min(power, left, most // l)
             if k == 0:
                 break
             steps.append((reach, l * k, i, k))
             reach |= reach << (l * k) & mask
             left, power = left - k, 2 * power
-        if reach >> room & 1:
+        if reach >> rest & 1:
             break
-    at = reach.bit_length() - 1
-    short = room - at
+    low = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1
+    above = reach >> (rest + 1)
+    high = rest + (above & -above).bit_length() if above else None
+    at = low if high is None or rest - low <= high - rest else high
     for before, size, i, k in reversed(steps):
         if not before >> at & 1:
             take[i] += k
             at -= size
-    if short:
-        # A single document more may come nearer than the best sum from below.
-        over = next(((l, i) for l, i in order if take[i] < counts[i] and l > short), None)
-        if over and over[0] - short < short:
-            take[over[1]] += 1
     return take
 
 
@@ -168,10 +164,11 @@ def repeat(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", *
     names = docs.columns
     text, own_id = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`").cast("long")
     taken = mix(docs, id_col=id_col, text_col=text_col, keep_tie=True, **how)
-    wanted = taken.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__k"), F.col("tie").alias("__tie")).agg(F.count("*").alias("__n"), F.sum("times").alias("__t"))
-    keyed = docs.withColumn("__k", F.coalesce(own_id.cast("string"), F.lit(""))).withColumn("__tie", F.xxhash64(text))
-    found = keyed.join(wanted.where("__t > 0"), ["__k", "__tie"])
-    row = F.row_number().over(Window.partitionBy("__k", "__tie").orderBy("__k"))
-    times = F.floor(F.col("__t") / F.col("__n")) + (row <= F.col("__t") % F.col("__n")).cast("long")
-    numbered = found.withColumn("__times", times.cast("int")).where("__times > 0")
-    return numbered.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in names])
+    k, tie, n, t, times, copy = (fresh(docs, x) for x in ("__k", "__tie", "__n", "__t", "__times", "__copy"))
+    wanted = taken.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(k), F.col("tie").alias(tie)).agg(F.count("*").alias(n), F.sum("times").alias(t))
+    keyed = docs.withColumn(k, F.coalesce(own_id.cast("string"), F.lit(""))).withColumn(tie, F.xxhash64(text))
+    found = keyed.join(wanted.where(F.col(t) > 0), [k, tie])
+    row = F.row_number().over(Window.partitionBy(k, tie).orderBy(k))
+    each = F.floor(F.col(t) / F.col(n)) + (row <= F.col(t) % F.col(n)).cast("long")
+    numbered = found.withColumn(times, each.cast("int")).where(F.col(times) > 0)
+    return numbered.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in names])

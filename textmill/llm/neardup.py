@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm._common import materialize, maybe_in, mix64, slices, text_of
+from textmill.llm._common import fresh, materialize, maybe_in, mix64, slices, text_of
 from textmill.llm.components import components
 
 BANDS, ROWS = 28, 5
@@ -329,9 +329,10 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **how) -> D
 
     Rows with one id are one document, and stay or go together.
     """
-    gone = materialize(near_duplicates(docs, id_col=id_col, **how).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    name = fresh(docs, "__gone")
+    gone = materialize(near_duplicates(docs, id_col=id_col, **how).where("not kept").select(F.col("doc_id").alias(name)).distinct(), "gone")
     own = F.col(f"`{id_col}`").cast("long")
     some = maybe_in(gone)(own)
     # Only rows that may be among those that go are shuffled.
     doubtful = docs.where(F.coalesce(some, F.lit(True)))
-    return docs.where(~some).unionAll(doubtful.join(gone, own == F.col("__gone"), "left_anti"))
+    return docs.where(~some).unionAll(doubtful.join(gone, own == F.col(name), "left_anti"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm._common import slices, text_of
+from textmill.llm._common import fresh, slices, text_of
 from textmill.llm._sample import labelled_texts
 
 #: Labelled rows used for fitting, at most.
@@ -140,10 +140,11 @@ def _fit_link(name: str, held: _Held, rows: np.ndarray, labels: np.ndarray, earl
     return Link(name, bias, {held.words[i]: float(v) for i, v in zip(chosen.tolist(), weights[: len(chosen)], strict=True) if v}, weights[len(chosen) :].tolist())
 
 
-def fit_chain(texts: list[bytes], labels: pd.DataFrame, *, folds: int = 5, most_words: int = WORDS, penalty: float = 1e-4, steps: int = 500, seed: int = 3) -> list[Link]:
-    """A link for each column of ``labels``, in their order."""
+def fit_chain(texts: list[bytes], labels: pd.DataFrame, *, folds: int = 5, most_words: int = WORDS, penalty: float | None = None, steps: int = 500, seed: int = 3) -> list[Link]:
+    """A link for each column of ``labels``, in their order; the penalty is half a row's share of them unless given."""
     sets = [word_set(t) for t in texts]
     held, n, k = _Held(sets), len(sets), labels.shape[1]
+    penalty = 0.5 / max(n, 1) if penalty is None else penalty
     fold, every = np.random.default_rng(seed).permutation(n) % folds, np.arange(n)
     out_of_fold = np.zeros((n, k), np.float64)
     links = []
@@ -206,4 +207,5 @@ def score_toxicity(docs: DataFrame, links: list[Link], *, threshold: float = 0.5
 def drop_toxic(docs: DataFrame, links: list[Link], *, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows that are not toxic, with their own columns."""
     p = probabilities(links)(F.col(f"`{text_col}`").cast("string"))
-    return docs.withColumn("__p", p).where(F.col("__p")[f"p_{links[-1].name}"] < threshold).drop("__p")
+    own = fresh(docs, "__p")
+    return docs.withColumn(own, p).where(F.col(own)[f"p_{links[-1].name}"] < threshold).drop(own)
