@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: White space that carries structure, as tokens.
-MARKERS = {r"\n{2,}": " [WS_MULTIPLE_NEWLINE] ", r"[ \t]+(?=\n)": " [WS_TRAILING_SPACE] ", r" {2,}": " [WS_DOUBLE_SPACE] "}
+#: Words, white space that carries structure, and marks.
+STRUCTURE = r"(?U)([\p{L}\p{N}_]+|\n{2,}| {2,}|[^\p{L}\p{N}_\s])"
 
 
 def structural_tokens(docs: DataFrame, *, mode: str = "all", lowercase: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, pos, token: words, marks and white-space markers; ``mode`` is all, words, punctuation or whitespace."""
-    text = F.lower(text_col) if lowercase else F.col(text_col)
-    for pattern, marker in MARKERS.items():
-        text = F.regexp_replace(text, pattern, marker)
-    found = F.regexp_extract_all(text, F.lit(r"(?U)(\[WS_[A-Z_]+\]|[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])"), F.lit(1))
+    text = F.regexp_replace(F.lower(text_col) if lowercase else F.col(text_col), r"[ \t]+(?=\n)", "\x01")
+    raw = F.regexp_extract_all(text, F.lit(STRUCTURE), F.lit(1))
+    names = {"\n": "[WS_MULTIPLE_NEWLINE]", "\x01": "[WS_TRAILING_SPACE]", " ": "[WS_DOUBLE_SPACE]"}
+    marker = lambda t: F.when(t.startswith("\n"), names["\n"]).when(t == "\x01", names["\x01"]).when(t.startswith(" "), names[" "]).otherwise(t)
+    found = F.transform(raw, marker)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(found).alias("pos", "token"))
     kinds = {"words": F.col("token").rlike(r"^[\p{L}\p{N}_]"), "whitespace": F.col("token").startswith("[WS_"), "punctuation": ~F.col("token").rlike(r"^[\p{L}\p{N}_]") & ~F.col("token").startswith("[WS_")}
     return rows.where(kinds[mode]) if mode in kinds else rows

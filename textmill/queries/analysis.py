@@ -234,7 +234,7 @@ def minmax_rows(spark, sf_dir):
     return stylometry.scale(docs(spark, sf_dir), "source", "n_chars", "minmax").select("doc_id", F.round("n_chars", 6).alias("n_chars"))
 
 
-@query("WITH e AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(lower(text), '\\n{2,}', ' [WS_MULTIPLE_NEWLINE] ', 'g'), '[ \\t]+(\\n)', ' [WS_TRAILING_SPACE] \\1', 'g'), ' {2,}', ' [WS_DOUBLE_SPACE] ', 'g'), '\\[WS_[A-Z_]+\\]|[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]')) AS token FROM documents) SELECT doc_id, count(*)::BIGINT AS n, count(*) FILTER (NOT regexp_matches(token, '^[\\p{L}\\p{N}_]'))::BIGINT AS marks FROM e GROUP BY doc_id")
+@query("WITH e AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(lower(text), '[ \\t]+(\\n)', chr(1) || '\\1', 'g'), '[\\p{L}\\p{N}_]+|\\n{2,}| {2,}|[^\\p{L}\\p{N}_\\s]')) AS token FROM documents) SELECT doc_id, count(*)::BIGINT AS n, count(*) FILTER (NOT regexp_matches(token, '^[\\p{L}\\p{N}_]'))::BIGINT AS marks FROM e GROUP BY doc_id")
 def structural_tokens(spark, sf_dir):
     t = stylometry.structural_tokens(docs(spark, sf_dir))
     return t.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(~F.col("token").rlike(r"^[\p{L}\p{N}_]")).alias("marks"))

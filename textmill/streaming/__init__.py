@@ -13,7 +13,7 @@ from textmill.plans.scrubber import make_pipeline
 
 def text_files(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of whole text files: name, path, text."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.txt").load(folder)
     return files.select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("name"), "path", F.decode("content", "UTF-8").alias("text"))
 
 
