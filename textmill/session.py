@@ -20,6 +20,10 @@ DEFAULTS = {
 }
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXTS_IN_BATCH = 1000
+
+
 def session(app: str = "textmill", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the defaults; ``conf`` keys have ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
@@ -31,8 +35,11 @@ def session(app: str = "textmill", master: str | None = None, **conf: str) -> Sp
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per context, so that Python workers can import it anywhere."""
+    """Send this package to the executors, once per context, so that Python workers can import it anywhere; bound Arrow batches."""
     context = spark.sparkContext
+    # Rows hold whole texts: Spark's 10,000 of them in an Arrow batch are too many for a worker's memory.
+    if int(spark.conf.get(_BATCH)) > TEXTS_IN_BATCH:
+        spark.conf.set(_BATCH, TEXTS_IN_BATCH)
     if getattr(context, "_textmill_shipped", False):
         return
     root = Path(__file__).resolve().parent
