@@ -20,7 +20,6 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -97,16 +96,41 @@ def _lasso(x: np.ndarray, y: np.ndarray, free: int, penalty: float, steps: int)
 
 
 class _Held:
-    """Which features each training text holds, as flat arrays: features of fewer than ``least`` texts are left out."""
-
-    def __init__(self, sets: list[set[bytes]], least: int = 5):
-        df = Counter(w for s in sets for w in s)
-        self.words = sorted(w for w, c in df.items() if c >= least)
-        index = {w: i for i, w in enumerate(self.words)}
-        own = [[index[w] for w in s if w in index] for s in sets]
-        self.row = np.repeat(np.arange(len(sets)), [len(x) for x in own])
-        self.col = np.array([i for x in own for i in x], np.int64)
-        self.n = len(sets)
+    """Which features each training text holds, as flat arrays: features of fewer than ``least`` texts are left out.
+
+    Most features are rare, so their strings are kept only where a table of
+    counts by hash says that they may be common enough.
+    """
+
+    def __init__(self, texts: list[bytes], least: int = 5, slots: int = 1 << 22):
+        self.n = len(texts)
+        seen = np.zeros(slots, np.int32)
+        for t in texts:
+            np.add.at(seen, np.fromiter(map(hash, word_set(t)), np.int64) & (slots - 1), 1)
+        often = seen >= least
+        index: dict[bytes, int] = {}
+        own = []
+        for t in texts:
+            own.append(np.array([index.setdefault(w, len(index)) for w in word_set(t) if often[hash(w) & (slots - 1)]], np.int32))
+        df, words = np.zeros(len(index), np.int64), list(index)
+        for x in own:
+            df[x] += 1
+        # Ids in order of the words, whatever order the sets gave them in.
+        order = sorted((i for i in range(len(words)) if df[i] >= least), key=words.__getitem__)
+        place = np.full(len(words), -1, np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        own = [np.sort(y[y >= 0]) for y in (place[x] for x in own)]
+        self.words = [words[i] for i in order]
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(x) for x in own])
+        self.col = np.concatenate([*own, np.empty(0, np.int32)])
+
+    def predict(self, link: Link, earlier: np.ndarray) -> np.ndarray:
+        """Probabilities of a link for all training texts."""
+        weight = np.array([link.words.get(w, 0.0) for w in self.words])
+        z = np.bincount(self.row, weight[self.col] if len(self.col) else None, self.n) + link.bias
+        if link.earlier:
+            z = z + earlier[:, : len(link.earlier)] @ np.array(link.earlier)
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 def _fit_link(name: str, held: _Held, rows: np.ndarray, labels: np.ndarray, earlier: np.ndarray, most_words: int, penalty: float, steps: int) -> Link:
@@ -114,8 +138,8 @@ def _fit_link(name: str, held: _Held, rows: np.ndarray, labels: np.ndarray, earl
     if not n or y.min() == y.max():
         share = float(y.mean()) if n else 0.0
         return Link(name, float(np.log((share + 1e-9) / (1 - share + 1e-9))), {}, [0.0] * earlier.shape[1])
-    place = np.full(held.n, -1)
-    place[rows] = np.arange(n)
+    place = np.full(held.n, -1, np.int32)
+    place[rows] = np.arange(n, dtype=np.int32)
     mine = place[held.row] >= 0
     row, col = place[held.row[mine]], held.col[mine]
     df, pos, ones = np.bincount(col, minlength=len(held.words)), np.bincount(col, y[row], len(held.words)), y.sum()
@@ -142,8 +166,7 @@ def _fit_link(name: str, held: _Held, rows: np.ndarray, labels: np.ndarray, earl
 
 def fit_chain(texts: list[bytes], labels: pd.DataFrame, *, folds: int = 5, most_words: int = WORDS, penalty: float | None = None, steps: int = 500, seed: int = 3) -> list[Link]:
     """A link for each column of ``labels``, in their order; the penalty is half a row's share of them unless given."""
-    sets = [word_set(t) for t in texts]
-    held, n, k = _Held(sets), len(sets), labels.shape[1]
+    held, n, k = _Held(texts), len(texts), labels.shape[1]
     penalty = 0.5 / max(n, 1) if penalty is None else penalty
     fold, every = np.random.default_rng(seed).permutation(n) % folds, np.arange(n)
     out_of_fold = np.zeros((n, k), np.float64)
@@ -154,7 +177,7 @@ def fit_chain(texts: list[bytes], labels: pd.DataFrame, *, folds: int = 5, most_
             for f in range(folds):
                 own = np.flatnonzero(fold == f)
                 part = _fit_link(name, held, np.flatnonzero(fold != f), y, before, most_words, penalty, steps)
-                out_of_fold[own, j] = part.predict([sets[i] for i in own], before[own])
+                out_of_fold[own, j] = held.predict(part, before)[own]
         links.append(_fit_link(name, held, every, y, before, most_words, penalty, steps))
     return links
 
@@ -170,11 +193,10 @@ def predict_chain(links: list[Link], texts: list[bytes]) -> np.ndarray:
 
 def weak_labels(texts: list[bytes], toxic: np.ndarray, seeds: dict[str, list[str]] = SEEDS) -> pd.DataFrame:
     """A column for each seeded category and last ``toxic`` itself."""
-    sets = [word_set(t) for t in texts]
     out = {}
     for name, words in seeds.items():
         own = {w.encode("utf-8") for w in words}
-        out[name] = [int(bool(t) and bool(s & own)) for s, t in zip(sets, toxic, strict=True)]
+        out[name] = [int(bool(y) and bool(word_set(t) & own)) for t, y in zip(texts, toxic, strict=True)]
     return pd.DataFrame(out | {"toxic": np.asarray(toxic, int)}, index=range(len(texts)))
 
 
