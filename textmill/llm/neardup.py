@@ -45,7 +45,7 @@ BANDS, ROWS = 28, 5
 #: Members in a block when the rest of a bucket is compared.
 BLOCK = 256
 #: Words that a worker remembers the hash of; beyond it the memory starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _known: dict[bytes, int] = {}
