@@ -188,6 +188,55 @@ def test_divergence(spark, docs):
     assert got.loc[junk].kept.mean() < 0.1
 
 
+def brute_divergence(rows):
+    """kept of (text, lang) rows that pass the base rules: histograms, references and two refits, one text at a time."""
+    import math
+
+    def classes(t):
+        out = [0] * 8
+        for c in t:
+            k = 0 if "a" <= c <= "z" or ord(c) >= 128 else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 if c in ".," else 7 if c in "\n\r" else 6 if c in " \t\x0b\x0c" else 5 if c in "#*$%&|<>+=@^_~\\/{}[]`" else 4
+            out[k] += 1
+        return out
+
+    def common(t, lang):
+        listed = divergence.COMMON[lang].split()
+        out = dict.fromkeys([*listed, None], 0)
+        for w in SPACE.findall(t):
+            bare = w.strip(".,;:!?\"'()[]{}*$%#&|<>-")
+            bare = "".join(c.lower() if c.isascii() else c for c in bare)
+            out[w if w in out else bare if bare in out else None] += 1
+        return list(out.values())
+
+    def distance(p, q):
+        a, b = sum(p), sum(q)
+        total = 0.0
+        for x, y in zip(p, q, strict=True):
+            x, y = x / a, y / b
+            m = (x + y) / 2
+            total += (x * math.log2(x / m) if x else 0) + (y * math.log2(y / m) if y else 0)
+        return math.sqrt(max(total / 2, 0))
+
+    held = [(lang, classes(t), common(t, lang), len(SPACE.findall(t)), sum(map(len, SPACE.findall(t)))) for t, lang in rows]
+    kept = [True] * len(held)
+    for _ in range(3):
+        refs = {}
+        for (lang, c, w, _, _), k in zip(held, kept, strict=True):
+            if k:
+                have = refs.setdefault(lang, ([0] * len(c), [0] * len(w)))
+                refs[lang] = [x + y for x, y in zip(have[0], c, strict=True)], [x + y for x, y in zip(have[1], w, strict=True)]
+        kept = [not ((chars >= 150 and distance(c, refs[lang][0]) > 0.12 + 1.1 / n**0.5) or (n >= 40 and distance(w, refs[lang][1]) > 0.12 + 2.3 / n**0.5)) for lang, c, w, n, chars in held]
+    return kept
+
+
+def test_divergence_verdicts(spark, docs):
+    got = queries.op3_divergence(spark, SF).toPandas().set_index("doc_id")
+    passed = docs[~got.loc[docs.doc_id].base_failed.to_numpy()]
+    want = brute_divergence(list(zip(passed.text, passed.lang, strict=True)))
+    assert got.loc[passed.doc_id].kept.tolist() == want
+    assert 0 < sum(want) < len(want)
+
+
 def test_divergence_hard_rows(spark):
     rows = hard(spark)
     got = divergence.divergence(rows).toPandas()
