@@ -44,9 +44,13 @@ def space_widths(text: Column) -> Column:
 
 def ngrams(tokens: Column, n: int, sep: str = " ") -> Column:
     """Runs of ``n`` tokens; none for shorter arrays."""
-    size = F.size(tokens)
-    starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), sep))
+
+    def runs(t: Column) -> Column:
+        starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(t, i, n), sep))
+
+    # Bound to a variable, or else the tokens would be made again for every run.
+    return F.transform(F.array(tokens), runs)[0]
 
 
 def filter_tokens(tokens: Column, *, stops: Iterable[str] = (), drop_ws: bool = True, filter_digits: bool = False, filter_punct: bool = True) -> Column:

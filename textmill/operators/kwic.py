@@ -53,7 +53,7 @@ def phrase_context(docs: DataFrame, phrase: list[str], *, window: int = 5, case_
     want = F.array(*[F.lit(w if case_sensitive else w.lower()) for w in phrase])
     size = F.size(tokens_col)
     starts = F.when(size >= k, F.sequence(F.lit(0), size - k)).otherwise(F.array().cast("array<int>"))
-    hit = docs.select(F.col(id_col).alias("doc_id"), F.col(tokens_col).alias("__t"), F.explode(F.filter(starts, lambda i: F.slice(t, i + 1, k) == want)).alias("pos"))
+    hit = docs.select(F.col(id_col).alias("doc_id"), F.col(tokens_col).alias("__t"), F.explode(F.transform(F.array(t), lambda low: F.filter(starts, lambda i: F.slice(low, i + 1, k) == want))[0]).alias("pos"))
     begin = F.greatest(F.lit(0), F.col("pos") - window)
     return hit.select(
         "doc_id", "pos", F.array_join(F.slice("__t", begin + 1, F.col("pos") - begin), " ").alias("before"), F.array_join(F.slice("__t", F.col("pos") + 1, F.lit(k)), " ").alias("keyword"), F.array_join(F.slice("__t", F.col("pos") + k + 1, F.lit(window)), " ").alias("after")
