@@ -539,3 +539,12 @@ def test_sentence_spans_hard_rows(spark, hot):
     assert got[32].n_removed == 4 and got[32].text == "" and got[33].text == ""
     assert got[2].n_removed == 0 and got[1].n_removed == 0 and got[3].n_sentences == 0 and got[4].text == ""
     assert spans.dedup_spans(hard(spark).limit(0)).count() == 0
+
+
+def test_sentence_spans_of_short_sentences(spark):
+    verse = " ".join(f"Line number {i} has just eight words here." for i in range(7))
+    tail = "One two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen! And after it nine words more. Last of all five words."
+    alone = " ".join(f"word{i}" for i in range(24)) + " end."
+    rows = [(1, f"Opening a. {verse} Closing a."), (2, f"Opening b. {verse}\nClosing b."), (3, f"Opening c. {tail} Closing c."), (4, f"Opening d. {tail} Closing d."), (5, f"Opening e! {alone} Closing e."), (6, f"Opening f! {alone} Closing f.")]
+    got = {r.doc_id: (r.n_removed, r.text) for r in spans.dedup_spans(hard(spark, rows)).collect()}
+    assert got == {1: (0, rows[0][1]), 2: (7, "Opening b. Closing b."), 3: (0, rows[2][1]), 4: (3, "Opening d. Closing d."), 5: (0, rows[4][1]), 6: (1, "Opening f! Closing f.")}

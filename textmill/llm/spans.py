@@ -5,7 +5,10 @@ space.  Every run of ``run`` consecutive sentences is hashed, of the sentences'
 with A-Z in lower case.  Runs are joined over all texts; the first occurrence, by
 document id and place, stays, and all sentences covered by any other occurrence
 are removed.  Runs of fewer than ``min_words`` words don't count: such sentences recur
-by chance.  A sentence of ``alone_words`` words or more is a run by itself.
+by chance.  Short sentences make longer runs: from each sentence on, and back from
+each, the shortest run of at least ``run`` sentences with ``grown_words`` words counts,
+so a repeated stretch of so many whole sentences and words goes as a whole, however
+short its sentences are.  A sentence of ``alone_words`` words or more is a run by itself.
 
 Hashes of runs that occur once are dropped after partial counts.  A run that a
 third of all documents share is one row of counts; joining it back to its many
@@ -51,7 +54,7 @@ def sentences(text: bytes) -> list[tuple[int, int]]:
     return out
 
 
-def runs(text: bytes, run: int, min_words: int, alone_words: int) -> tuple[int, list[int], list[int], list[int]]:
+def runs(text: bytes, run: int, min_words: int, grown_words: int, alone_words: int) -> tuple[int, list[int], list[int], list[int]]:
     """Number of sentences; hash, first sentence and number of sentences of each run that counts."""
     spans = sentences(text)
     if not spans:
@@ -61,26 +64,38 @@ def runs(text: bytes, run: int, min_words: int, alone_words: int) -> tuple[int,
     # Sentences are hashed once; a run is the hash of its sentences' hashes.
     own = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(w)) for w in words), np.uint64, len(words))
     total = np.cumsum([0, *map(len, words)])
+    n = len(own)
+    at = np.arange(n)
+    # The shortest grown run from each sentence on, and back from each.
+    ends = np.maximum(np.searchsorted(total, total[:-1] + grown_words), at + run)
+    starts = np.minimum(np.searchsorted(total, total[1:] - grown_words, side="right") - 1, at + 1 - run)
+    on, back = ends <= n, starts >= 0
+    # One number for a run, so that each is listed once: its length before its start.
+    grown = np.unique(np.concatenate([(ends - at)[on] * n + at[on], (at + 1 - starts)[back] * n + starts[back]]))
+    lengths = grown // n
     hs, ats, ms = [], [], []
-    for m, least in ((run, min_words), (1, alone_words)):
-        n = len(own) - m + 1
-        good = np.flatnonzero(total[m:] - total[:-m] >= least) if n > 0 else []
-        if not len(good) or (m == 1 and run == 1 and hs):
-            continue
-        h = np.full(n, m, np.uint64)
+    h = np.zeros(n, np.uint64)
+    for m in range(1, max(run, int(lengths[-1]) if len(lengths) else 1) + 1):
+        if m > n:
+            break
         with np.errstate(over="ignore"):
-            for j in range(m):
-                h = h * np.uint64(0x9E3779B97F4A7C15) + own[j : j + n]
-                h ^= h >> np.uint64(29)
-                h *= np.uint64(0xBF58476D1CE4E5B9)
-                h ^= h >> np.uint64(32)
-        hs += h[good].view(np.int64).tolist()
-        ats += good.tolist()
-        ms += [m] * len(good)
+            h = h[: n - m + 1] * np.uint64(0x9E3779B97F4A7C15) + own[m - 1 :]
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
+        good = np.zeros(n - m + 1, bool)
+        good[grown[np.searchsorted(lengths, m) : np.searchsorted(lengths, m, side="right")] % n] = True
+        for size, least in ((run, min_words), (1, alone_words)):
+            if m == size:
+                good |= total[m:] - total[:-m] >= least
+        found = np.flatnonzero(good)
+        hs += h[found].view(np.int64).tolist()
+        ats += found.tolist()
+        ms += [m] * len(found)
     return len(spans), hs, ats, ms
 
 
-def _runs(run: int, min_words: int, alone_words: int):
+def _runs(*how: int):
     kind = pa.struct([("h", pa.int64()), ("at", pa.int32()), ("m", pa.int32())])
 
     @F.arrow_udf("array<struct<h: long, at: int, m: int>>")
@@ -88,7 +103,7 @@ def _runs(run: int, min_words: int, alone_words: int):
         hs, ats, ms, ends = [], [], [], [0]
         for _, part in slices(texts):
             for t in part:
-                _, h, at, m = runs(t, run, min_words, alone_words)
+                _, h, at, m = runs(t, *how)
                 hs += h
                 ats += at
                 ms += m
@@ -145,14 +160,14 @@ def crc32_of(texts: pa.Array) -> pa.Array:
     return pa.array([zlib.crc32(t) for _, part in slices(texts) for t in part], pa.int64())
 
 
-def dedup_spans(docs: DataFrame, *, run: int = 2, min_words: int = 20, alone_words: int = 40, hot: int = 5000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_spans(docs: DataFrame, *, run: int = 2, min_words: int = 20, grown_words: int = 25, alone_words: int = 20, hot: int = 5000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, n_sentences, n_removed, cuts (byte spans), n_words_removed for every row."""
     ship(docs.sparkSession)
     text = F.col(f"`{text_col}`").cast("string")
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
     # An order of all rows: the id, then the text's hash.
     keyed = own.withColumn("key", F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("tie")))
-    places = keyed.select("key", F.explode(_runs(run, min_words, alone_words)("text")).alias("r")).select(F.col("r.h").alias("h"), "key", F.col("r.at").alias("at"), F.col("r.m").alias("m"))
+    places = keyed.select("key", F.explode(_runs(run, min_words, grown_words, alone_words)("text")).alias("r")).select(F.col("r.h").alias("h"), "key", F.col("r.at").alias("at"), F.col("r.m").alias("m"))
     places = materialize(places, "runs")
     repeated = materialize(places.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("first")).where("n > 1"), "repeated")
     hots = repeated.where(F.col("n") > hot)
