@@ -199,3 +199,17 @@ def test_keyterms(spark, docs):
     assert keyterms.textrank(text, sizes=(1,), topn=1)[0][0] == "learning"
     assert keyterms.keyterms(docs, "yake", topn=2).where("doc_id = 3").count() == 0
     assert sum(keyterms.pagerank({("a", "b"): 1.0, ("b", "c"): 1.0}).values()) == pytest.approx(1)
+
+
+def test_lda_draws_all_documents(spark, monkeypatch):
+    from textmill.queries import load
+
+    d = spark.createDataFrame([(i, ["a", "b"] if i % 2 else ["c", "d"]) for i in range(8)], "doc_id long, tokens array<string>")
+    _, _, (_, model) = topics.train(d, 2)
+    assert model.getSubsamplingRate() * model.getMaxIter() >= 20
+    _, _, (_, model) = topics.train(d, 2, iterations=4)
+    assert model.getSubsamplingRate() == 1
+    how = []
+    monkeypatch.setattr(topics, "train", lambda docs, k, **options: how.append(options) or (docs, None, None))
+    load()["lda_topics"].run(spark, "/root/testdata/sf0.001")
+    assert how == [{}]

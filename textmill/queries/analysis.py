@@ -369,7 +369,7 @@ def yake_terms(spark, sf_dir):
 @query()
 def lda_topics(spark, sf_dir):
     d = docs(spark, sf_dir).select("doc_id", ft.whitespace_tokens(F.lower("text")).alias("tokens"))
-    doc_topic, _, _ = topics.train(d, 5, iterations=5, vocabulary=2000)
+    doc_topic, _, _ = topics.train(d, 5)
     return doc_topic
 
 
