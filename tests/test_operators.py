@@ -1,5 +1,6 @@
 """Operators on small tables with known results, and edge cases."""
 
+import collections
 import math
 
 import numpy as np
@@ -213,3 +214,23 @@ def test_lda_draws_all_documents(spark, monkeypatch):
     monkeypatch.setattr(topics, "train", lambda docs, k, **options: how.append(options) or (docs, None, None))
     load()["lda_topics"].run(spark, "/root/testdata/sf0.001")
     assert how == [{}]
+
+
+def test_sgrank_takes_every_candidate():
+    words = [f"{a}{b}" for a in "bcdfghjklm" for b in "aeiouy"]
+    text = " . ".join(f"{w} {v}" for w, v in zip(words, words[1:], strict=False)) + ". zebra zulu. zebra."
+    found = sorted((i, g) for r in keyterms._runs(keyterms.terms_of(text), set(keyterms.STOPWORDS)) for i, g in keyterms._grams(r, range(1, 7)))
+    count = collections.Counter(g for _, g in found)
+    for window in (1500, 7):
+        edges = collections.defaultdict(float)
+        for k, (i, a) in enumerate(found):
+            for j, b in found[k + 1 :]:
+                if 0 < j - i <= window and a != b:
+                    edges[tuple(sorted((" ".join(a), " ".join(b))))] += count[a] * count[b] / (j - i)
+        want = keyterms.pagerank(edges)
+        got = dict(keyterms.sgrank(text, window=window, topn=len(count)))
+        assert len(count) > 20 and "zebra zulu" in got
+        assert got == {t: pytest.approx(want[t], abs=1e-9) for t in got}
+        # Before, candidates past the 20 * topn heaviest were left out.
+        few = keyterms.sgrank(text, window=window, topn=1)
+        assert few[0][1] == pytest.approx(max(want.values()), abs=1e-9)
