@@ -234,3 +234,13 @@ def test_sgrank_takes_every_candidate():
         # Before, candidates past the 20 * topn heaviest were left out.
         few = keyterms.sgrank(text, window=window, topn=1)
         assert few[0][1] == pytest.approx(max(want.values()), abs=1e-9)
+
+
+def test_compare_scores_absent_terms(spark):
+    c = spark.createDataFrame([("x", "a", 3), ("x", "b", 1), ("y", "b", 2), ("y", "c", 5)], "lang string, term string, n long")
+    got = {(r.lang, r.term): r.z_score for r in distinct.compare_with_rest(c, "lang").collect()}
+    for lang, other in (("x", "y"), ("y", "x")):
+        z = distinct.z_test(c.where(f"lang = '{lang}'"), c.where(f"lang = '{other}'"))
+        assert {t: s for (g, t), s in got.items() if g == lang} == {r.term: pytest.approx(r.z_score) for r in z.collect()}
+    assert got["x", "c"] < 0 and got["y", "a"] < 0
+    assert [(r.lang, r.term) for r in distinct.compare_with_rest(c, "lang", 1).orderBy("lang").collect()] == [("x", "a"), ("y", "a")]

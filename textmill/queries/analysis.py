@@ -135,6 +135,16 @@ def _rest(by: str, src: str, topn: int) -> str:
 
 @query(_rest("lang", "lang", 50))
 def compare_classes(spark, sf_dir):
+    c = T.term_counts(toks(spark, sf_dir, "lang"), "lang")
+    # The SQL beside it has the terms of the language itself only; compare_classes_union has all.
+    return distinct.compare_with_rest(c, "lang", 50, absent=False).select("lang", "term", F.round("z_score", 6).alias("z_score"), "rank")
+
+
+@query(
+    f"WITH {TOKENS}, h AS (SELECT lang AS grp, token AS term, count(*)::DOUBLE AS n FROM t GROUP BY ALL), p AS (SELECT term, sum(n) AS t FROM h GROUP BY term), q AS (SELECT grp, sum(n) AS g FROM h GROUP BY grp), a AS (SELECT sum(n) AS al FROM h), c AS (SELECT grp, term, t, g, coalesce(n, 0) AS n FROM q CROSS JOIN p LEFT JOIN h USING (grp, term)), "
+    f"z AS (SELECT grp, term, {_REST} AS z FROM c, a WHERE {_REST} <> 0) SELECT grp AS lang, term, round(z, 6) AS z_score, row_number() OVER (PARTITION BY grp ORDER BY abs(z) DESC, term)::INTEGER AS rank FROM z QUALIFY rank <= 50"
+)
+def compare_classes_union(spark, sf_dir):
     c = T.term_counts(toks(spark, sf_dir, "lang"), "lang")
     return distinct.compare_with_rest(c, "lang", 50).select("lang", "term", F.round("z_score", 6).alias("z_score"), "rank")
 
@@ -142,7 +152,7 @@ def compare_classes(spark, sf_dir):
 @query(_rest("doc_id", "doc_id", 3).replace("abs(z) DESC, term", "round(abs(z), 9) DESC, term"))
 def compare_doc_to_corpus_top(spark, sf_dir):
     c = T.term_counts(toks(spark, sf_dir), "doc_id")
-    z = distinct.compare_with_rest(c, "doc_id")
+    z = distinct.compare_with_rest(c, "doc_id", absent=False)
     from pyspark.sql import Window
 
     w = Window.partitionBy("doc_id").orderBy(F.round(F.abs("z_score"), 9).desc(), "term")
