@@ -415,6 +415,17 @@ def test_decontamination(spark, block):
     assert cut[20] == "x  y  z a b c d e f g" and cut[22] == "short"
 
 
+@pytest.mark.parametrize("block", [1_000_000, 3])
+def test_decontamination_by_items_without_id(spark, block):
+    bench = spark.createDataFrame([(None, "p q r"), (None, "s t u"), (4, "v w")], "item_id long, text string")
+    docs = hard(spark, [(1, "a p q r b"), (2, "p q r s t u"), (3, "p q r v w z")])
+    got = {r.doc_id: tuple(r)[2:] for r in decontam.digest(docs, bench, block_windows=block).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got == {1: (3, 1, sha(""), False), 2: (6, 1, sha(""), False), 3: (5, 2, sha("4"), True)}
+    assert decontam.remove_contaminated(docs, bench, block_windows=block).count() == 0
+    assert {r.doc_id: r.text for r in decontam.remove_spans(docs, bench, block_windows=block).collect()}[1] == "a  b"
+
+
 # 9
 
 

@@ -12,7 +12,8 @@ benchmark is scanned in several blocks, in one pass over the texts per block wit
 the spans found so far carried along, so nothing is left out at any size.
 
 Defined results: null and empty texts have no words and no hits; items without
-words never occur; repeated items are each found; repeated rows each give a row;
+words never occur; repeated items are each found; items with a null id are found
+too and count together as one item, which the digest of ids leaves out; repeated rows each give a row;
 an empty benchmark or table hits nothing; other columns are ignored.
 """
 
@@ -42,11 +43,11 @@ def words_of(text: bytes) -> list[bytes]:
 class WindowSet:
     """Windows of some items, by length, with their hashes."""
 
-    def __init__(self, windows: dict[tuple[bytes, ...], set[str]]):
+    def __init__(self, windows: dict[tuple[bytes, ...], set[str | None]]):
         self.code = {w: i + 1 for i, w in enumerate(sorted({w for key in windows for w in key}))}
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, dict[tuple[int, ...], tuple[str, ...]]]] = {}
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, dict[tuple[int, ...], tuple[str | None, ...]]]] = {}
         for m in sorted({len(key) for key in windows}):
-            items = {tuple(self.code[w] for w in key): tuple(sorted(ids)) for key, ids in windows.items() if len(key) == m}
+            items = {tuple(self.code[w] for w in key): tuple(ids) for key, ids in windows.items() if len(key) == m}
             hashes = np.unique(self._hash(np.array(sorted(items), np.int64).ravel(), m)[::m])
             # A small table of bits on the low part of the hash spares most searches.
             size = 1 << max(16, int(np.ceil(np.log2(16 * len(hashes)))))
@@ -64,7 +65,7 @@ class WindowSet:
                 h = h * _P + c[j : j + n] + np.uint64(1)
         return mix64(h)
 
-    def find(self, codes: np.ndarray) -> Iterator[tuple[int, int, tuple[str, ...]]]:
+    def find(self, codes: np.ndarray) -> Iterator[tuple[int, int, tuple[str | None, ...]]]:
         """Verified occurrences: place, length, items."""
         for m, (hashes, filled, items) in self.by_length.items():
             if len(codes) < m:
@@ -90,10 +91,10 @@ def _items(bench: DataFrame, item_col: str, text_col: str, n: int) -> DataFrame:
         return pa.array(out, pa.list_(pa.string()))
 
     own = bench.select(F.col(f"`{item_col}`").cast("string").alias("item_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return own.where(F.col("item_id").isNotNull()).select("item_id", F.explode(windows("text")).alias("key")).distinct()
+    return own.select("item_id", F.explode(windows("text")).alias("key")).distinct()
 
 
-def _blocks(windows: DataFrame, block_windows: int) -> Iterator[dict[tuple[bytes, ...], set[str]]]:
+def _blocks(windows: DataFrame, block_windows: int) -> Iterator[dict[tuple[bytes, ...], set[str | None]]]:
     """The windows in blocks of a bounded size, each fetched by itself."""
     total = windows.count()
     parts = -(-total // block_windows) if total else 0
@@ -103,7 +104,7 @@ def _blocks(windows: DataFrame, block_windows: int) -> Iterator[dict[tuple[bytes
         rows = (windows if parts == 1 else windows.where(F.pmod(F.xxhash64("key", "item_id"), F.lit(parts)) == k)).limit(block_windows + 1).collect()
         if len(rows) > block_windows:
             raise ValueError("a block of benchmark windows is past its bound; raise block_windows")
-        block: dict[tuple[bytes, ...], set[str]] = {}
+        block: dict[tuple[bytes, ...], set[str | None]] = {}
         for r in rows:
             block.setdefault(tuple(r.key.encode("utf-8").split(b" ")), set()).add(r.item_id)
         if block:
@@ -128,7 +129,7 @@ def _scan(spark, block: dict):
             codes = np.fromiter((code(w, 0) for ws in split for w in (*ws, None)), np.int64, sum(map(len, split)) + len(split))
             ends = np.cumsum([len(ws) + 1 for ws in split])
             own_spans: list[list[tuple[int, int]]] = [[] for _ in split]
-            own_items: list[set[str]] = [set() for _ in split]
+            own_items: list[set[str | None]] = [set() for _ in split]
             for i, m, found in wins.find(codes):
                 row = int(np.searchsorted(ends, i, side="right"))
                 start = i - (int(ends[row - 1]) if row else 0)
@@ -136,7 +137,7 @@ def _scan(spark, block: dict):
                 own_items[row].update(found)
             counts += map(len, split)
             spans += [merge_spans(s) for s in own_spans]
-            items += [sorted(s) for s in own_items]
+            items += [sorted(s, key=lambda x: (x is None, x or "")) for s in own_items]
         pair = pa.struct([("a", pa.int64()), ("b", pa.int64())])
         return pa.StructArray.from_arrays(
             [pa.array(counts, pa.int64()), pa.array([[{"a": a, "b": b} for a, b in s] for s in spans], pa.list_(pair)), pa.array(items, pa.list_(pa.string()))], names=["n_words", "spans", "items"]
