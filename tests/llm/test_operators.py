@@ -514,16 +514,20 @@ def test_filter_lets_all_members_through(spark):
 # 10
 
 
-def brute_spans(rows, run, min_words, alone):
-    first, gone = {}, collections.defaultdict(set)
-    for i, t in sorted(rows, key=lambda r: r[0]):
+def brute_spans(rows, run=2, words=30):
+    """Sentences covered by any other than the first occurrence of any run, of every length."""
+    first, gone, nodes = {}, collections.defaultdict(set), {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         raw = (t or "").encode()
-        sents = [re.sub("[A-Z]", lambda m: m[0].lower(), raw[a:b].decode()).split(" ") for a, b in spans.sentences(raw)]
-        sents = [tuple(w for w in " ".join(s).split() if w) for s in sents]
-        for m, least in ((run, min_words), (1, alone)):
-            for k in range(len(sents) - m + 1):
-                key = (m, tuple(sents[k : k + m]))
-                if sum(map(len, sents[k : k + m])) >= least and first.setdefault(key, (i, k)) != (i, k):
+        sents = [tuple(re.sub("[A-Z]", lambda m: m[0].lower(), raw[a:b].decode()).translate(dict.fromkeys(map(ord, "\t\n\r\x0b\x0c"), " ")).split(" ")) for a, b in spans.sentences(raw)]
+        sents = [tuple(w for w in s if w) for s in sents]
+        for k in range(len(sents)):
+            # A run is a path in a tree of sentences, so that equal runs, and no others, have one number.
+            node = total = 0
+            for m in range(1, len(sents) - k + 1):
+                node = nodes.setdefault((node, sents[k + m - 1]), len(nodes) + 1)
+                total += len(sents[k + m - 1])
+                if m >= run and total >= words and first.setdefault(node, (i, k)) != (i, k):
                     gone[i].update(range(k, k + m))
     return gone
 
@@ -531,7 +535,8 @@ def brute_spans(rows, run, min_words, alone):
 def test_sentence_spans(spark, docs):
     got = queries.op10_sentence_spans(spark, SF).toPandas().set_index("doc_id")
     rows = list(zip(docs.doc_id, docs.text, strict=True))
-    gone = brute_spans(rows, 2, 20, 40)
+    gone = brute_spans(rows)
+    assert sum(map(bool, gone.values())) > 5
     for i, t in rows:
         raw = (t or "").encode()
         clean, cut = spans.drop_sentences(raw, sorted(gone[i])) if gone[i] else (raw, [])
@@ -540,22 +545,37 @@ def test_sentence_spans(spark, docs):
         assert r.n_words_removed == sum(len(raw[a:b].split()) for a, b in cut)
 
 
+@pytest.mark.parametrize(("run", "words"), [(2, 6), (3, 1), (1, 4), (2, 30)])
+def test_sentence_spans_of_random_texts(spark, run, words):
+    rng = random.Random(run * words)
+    kinds = ["A.", "b b!", "C c c?", "d d d d.", "e\n", "F f f f f f f f."]
+    rows = [(i if i % 9 else None, " ".join(rng.choices(kinds, k=rng.randint(0, 25))) or None) for i in range(120)]
+    rows = [(i, t) for i, t in rows if i is not None] + [(None, rows[0][1])]
+    got = {r.doc_id: r.n_removed for r in spans.dedup_spans(hard(spark, rows).repartition(5), run=run, words=words, hot=3).collect()}
+    gone = brute_spans(rows, run, words)
+    assert got == {i: len(gone[i]) for i, _ in rows}
+
+
 @pytest.mark.parametrize("hot", [5000, 1])
 def test_sentence_spans_hard_rows(spark, hot):
-    passage = "This passage is long enough to count as one run of words. It goes on for a second sentence of many words too."
-    rows = [*TEXTS, (30, f"First text. {passage} End here."), (31, f"Other start! {passage.upper()}\nMore."), (32, f"{passage} {passage}"), (33, passage)]
-    got = {r.doc_id: r for r in spans.dedup_spans(hard(spark, rows), hot=hot).collect() if r.doc_id is not None}
-    assert got[30].n_removed == 0 and got[30].text == rows[-4][1]
+    passage = "This passage is long enough, by far more than a word or two, to count as one run of words. It goes on for a second sentence of many words too."
+    rows = [*TEXTS, (30, f"First text. {passage} End here."), (31, f"Other start! {passage.upper()}\nMore."), (32, f"{passage} {passage}"), (33, passage), (None, f"{passage}\nLast."), (0, "Short.")]
+    every = spans.dedup_spans(hard(spark, rows), hot=hot).collect()
+    got = {r.doc_id: r for r in every if r.doc_id is not None}
+    assert got[30].n_removed == 0 and got[30].text == rows[-6][1]
     assert got[31].n_removed == 2 and got[31].text == "Other start! More."
     assert got[32].n_removed == 4 and got[32].text == "" and got[33].text == ""
     assert got[2].n_removed == 0 and got[1].n_removed == 0 and got[3].n_sentences == 0 and got[4].text == ""
+    # Rows without an id come last, so they lose what any other row has.
+    assert sorted((r.n_removed, r.text) for r in every if r.doc_id is None) == [(0, "no id here"), (2, "Last.")]
     assert spans.dedup_spans(hard(spark).limit(0)).count() == 0
 
 
 def test_sentence_spans_of_short_sentences(spark):
     verse = " ".join(f"Line number {i} has just eight words here." for i in range(7))
-    tail = "One two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen! And after it nine words more. Last of all five words."
-    alone = " ".join(f"word{i}" for i in range(24)) + " end."
+    tail = "One two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen! And after it come nine words more, not eight. Last of all seven words, no more."
+    alone = " ".join(f"word{i}" for i in range(60)) + " end."
     rows = [(1, f"Opening a. {verse} Closing a."), (2, f"Opening b. {verse}\nClosing b."), (3, f"Opening c. {tail} Closing c."), (4, f"Opening d. {tail} Closing d."), (5, f"Opening e! {alone} Closing e."), (6, f"Opening f! {alone} Closing f.")]
     got = {r.doc_id: (r.n_removed, r.text) for r in spans.dedup_spans(hard(spark, rows)).collect()}
-    assert got == {1: (0, rows[0][1]), 2: (7, "Opening b. Closing b."), 3: (0, rows[2][1]), 4: (3, "Opening d. Closing d."), 5: (0, rows[4][1]), 6: (1, "Opening f! Closing f.")}
+    # A single sentence is no run of several, however long.
+    assert got == {1: (0, rows[0][1]), 2: (7, "Opening b. Closing b."), 3: (0, rows[2][1]), 4: (3, "Opening d. Closing d."), 5: (0, rows[4][1]), 6: (0, rows[5][1])}

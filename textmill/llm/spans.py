@@ -1,19 +1,28 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences at line breaks and after ``.``, ``!`` or ``?`` before white
-space.  Every run of ``run`` consecutive sentences is hashed, of the sentences' words
-with A-Z in lower case.  Runs are joined over all texts; the first occurrence, by
-document id and place, stays, and all sentences covered by any other occurrence
-are removed.  Runs of fewer than ``min_words`` words don't count: such sentences recur
-by chance.  Short sentences make longer runs: from each sentence on, and back from
-each, the shortest run of at least ``run`` sentences with ``grown_words`` words counts,
-so a repeated stretch of so many whole sentences and words goes as a whole, however
-short its sentences are.  A sentence of ``alone_words`` words or more is a run by itself.
-
-Hashes of runs that occur once are dropped after partial counts.  A run that a
-third of all documents share is one row of counts; joining it back to its many
-places is spread: hashes with more than ``hot`` places (there can be at most places /
-hot of them) go by broadcast, the others by a shuffle.
+space.  A run is at least ``run`` consecutive sentences that hold at least ``words``
+words.  Every run is compared over all texts, by its sentences' words with A-Z in
+lower case; the first occurrence, by document id and place, stays, and all sentences
+covered by any other occurrence of any run are removed.
+
+Not every run needs a row.  From each sentence on, and back from each, only the
+shortest run is hashed: within an occurrence of a longer run these lie end to end
+and cover it, and each of them occurs wherever the longer one does.  So the same
+sentences are covered as if all runs, of any length, were listed (a test does
+list them).
+
+Runs shorter than ``words`` recur by chance, like headings and set phrases, and
+stay.  30 is what remains whole of a passage of 50 words that is set inside a
+paragraph, where the sentences at both its edges are cut.
+
+A run is known by two independent 64-bit hashes of its sentences' own 128-bit
+hashes, so that among 10^13 runs two different ones agree with probability 10^-13.
+Hashes that occur once are dropped after partial counts.  A run that a third of all
+documents share is one row of counts; joining it back to its many places needs
+no shuffle, as the ``MOST_HOT`` commonest hashes go by broadcast.  Each of the
+others has at most a ``MOST_HOT``-th of all places.  Places and texts that can't
+have part in a join are dropped by a filter of fixed size before any shuffle.
 
 Defined results: null and empty texts have no sentences and lose nothing; rows equal
 in id and text are one document and get the same result; rows with one id but
@@ -33,13 +42,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from textmill.llm._common import materialize, slices
+from textmill.llm._common import materialize, maybe_in, mix64, slices
 from textmill.session import ship
 
-#: Hashes broadcast at most: 16 bytes of hash and place each.
+#: Hashes broadcast at most: about 60 bytes of hashes and place each.
 MOST_HOT = 100_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _CUT = re.compile(rb"(?<=[.!?])[ \t]+|\s*\n\s*")
+# Odd bases of the two run hashes, and their inverses modulo 2^64.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
 
 
 def sentences(text: bytes) -> list[tuple[int, int]]:
@@ -54,61 +66,56 @@ def sentences(text: bytes) -> list[tuple[int, int]]:
     return out
 
 
-def runs(text: bytes, run: int, min_words: int, grown_words: int, alone_words: int) -> tuple[int, list[int], list[int], list[int]]:
-    """Number of sentences; hash, first sentence and number of sentences of each run that counts."""
-    spans = sentences(text)
-    if not spans:
-        return 0, [], [], []
-    low = text.translate(_LOWER)
-    words = [low[a:b].split() for a, b in spans]
-    # Sentences are hashed once; a run is the hash of its sentences' hashes.
-    own = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(w)) for w in words), np.uint64, len(words))
-    total = np.cumsum([0, *map(len, words)])
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    with np.errstate(over="ignore"):
+        return np.cumprod(out, dtype=np.uint64)
+
+
+def runs(texts: list[bytes], run: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The shortest runs of some texts: two hashes, first sentence, number of sentences; and how many runs each text has."""
+    own, sizes, counts = [], [], []
+    for t in texts:
+        low, before = t.translate(_LOWER), len(own)
+        for a, b in sentences(t):
+            w = low[a:b].split()
+            own.append(xxhash.xxh3_128_digest(b" ".join(w)))
+            sizes.append(len(w))
+        counts.append(len(own) - before)
     n = len(own)
-    at = np.arange(n)
-    # The shortest grown run from each sentence on, and back from each.
-    ends = np.maximum(np.searchsorted(total, total[:-1] + grown_words), at + run)
-    starts = np.minimum(np.searchsorted(total, total[1:] - grown_words, side="right") - 1, at + 1 - run)
-    on, back = ends <= n, starts >= 0
-    # One number for a run, so that each is listed once: its length before its start.
-    grown = np.unique(np.concatenate([(ends - at)[on] * n + at[on], (at + 1 - starts)[back] * n + starts[back]]))
-    lengths = grown // n
-    hs, ats, ms = [], [], []
-    h = np.zeros(n, np.uint64)
-    for m in range(1, max(run, int(lengths[-1]) if len(lengths) else 1) + 1):
-        if m > n:
-            break
-        with np.errstate(over="ignore"):
-            h = h[: n - m + 1] * np.uint64(0x9E3779B97F4A7C15) + own[m - 1 :]
-            h ^= h >> np.uint64(29)
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            h ^= h >> np.uint64(32)
-        good = np.zeros(n - m + 1, bool)
-        good[grown[np.searchsorted(lengths, m) : np.searchsorted(lengths, m, side="right")] % n] = True
-        for size, least in ((run, min_words), (1, alone_words)):
-            if m == size:
-                good |= total[m:] - total[:-m] >= least
-        found = np.flatnonzero(good)
-        hs += h[found].view(np.int64).tolist()
-        ats += found.tolist()
-        ms += [m] * len(found)
-    return len(spans), hs, ats, ms
-
-
-def _runs(*how: int):
-    kind = pa.struct([("h", pa.int64()), ("at", pa.int32()), ("m", pa.int32())])
-
-    @F.arrow_udf("array<struct<h: long, at: int, m: int>>")
+    each = np.array(counts, np.int64)
+    last = np.repeat(np.cumsum(each), each)
+    first = last - np.repeat(each, each)
+    at, total = np.arange(n), np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])
+    ends = np.maximum(np.searchsorted(total, total[:-1] + words), at + run)
+    starts = np.minimum(np.searchsorted(total, total[1:] - words, side="right") - 1, at + 1 - run)
+    on, back = ends <= last, starts >= first
+    # One number for a run, so that each is listed once, in order of its start.
+    found = np.unique(np.concatenate([at[on] * (n + 1) + ends[on], starts[back] * (n + 1) + at[back] + 1]))
+    a, b = found // (n + 1), found % (n + 1)
+    hashes = []
+    halves = np.frombuffer(b"".join(own), np.uint64).reshape(n, 2)
+    with np.errstate(over="ignore"):
+        for half, base, inverse in zip(halves.T, _BASES, _INVERSES, strict=True):
+            # A polynomial of the run's sentence hashes, as a difference of sums, moved back to power 0.
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(half * _powers(base, n), dtype=np.uint64)])
+            h = (sums[b] - sums[a]) * _powers(inverse, n)[a]
+            hashes.append(mix64(h + (b - a).astype(np.uint64)).view(np.int64))
+    row = np.searchsorted(np.cumsum(each), a, side="right")
+    return hashes[0], hashes[1], (a - first[a]).astype(np.int32), (b - a).astype(np.int32), np.bincount(row, minlength=len(texts))
+
+
+def _runs(run: int, words: int):
+    kind = pa.struct([("h", pa.int64()), ("g", pa.int64()), ("at", pa.int32()), ("m", pa.int32())])
+
+    @F.arrow_udf("array<struct<h: long, g: long, at: int, m: int>>")
     def listed(texts: pa.Array) -> pa.Array:
-        hs, ats, ms, ends = [], [], [], [0]
-        for _, part in slices(texts):
-            for t in part:
-                _, h, at, m = runs(t, *how)
-                hs += h
-                ats += at
-                ms += m
-                ends.append(len(hs))
-        flat = pa.StructArray.from_arrays([pa.array(hs, pa.int64()), pa.array(ats, pa.int32()), pa.array(ms, pa.int32())], fields=list(kind))
+        parts = [runs(part, run, words) for _, part in slices(texts)]
+        if not parts:
+            return pa.array([], pa.list_(kind))
+        flat = pa.StructArray.from_arrays([pa.array(np.concatenate([p[i] for p in parts])) for i in range(4)], fields=list(kind))
+        ends = np.concatenate([[0], np.cumsum(np.concatenate([p[4] for p in parts]))])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
 
     return listed
@@ -160,21 +167,30 @@ def crc32_of(texts: pa.Array) -> pa.Array:
     return pa.array([zlib.crc32(t) for _, part in slices(texts) for t in part], pa.int64())
 
 
-def dedup_spans(docs: DataFrame, *, run: int = 2, min_words: int = 20, grown_words: int = 25, alone_words: int = 20, hot: int = 5000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, n_sentences, n_removed, cuts (byte spans), n_words_removed for every row."""
+def dedup_spans(docs: DataFrame, *, run: int = 2, words: int = 30, hot: int = 5000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, n_sentences, n_removed, cuts (byte spans), n_words_removed for every row.
+
+    Hashes with more than ``hot`` places may go by broadcast; that changes no result.
+    """
     ship(docs.sparkSession)
     text = F.col(f"`{text_col}`").cast("string")
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
     # An order of all rows: the id, then the text's hash.
     keyed = own.withColumn("key", F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("tie")))
-    places = keyed.select("key", F.explode(_runs(run, min_words, grown_words, alone_words)("text")).alias("r")).select(F.col("r.h").alias("h"), "key", F.col("r.at").alias("at"), F.col("r.m").alias("m"))
+    places = keyed.select("key", F.explode(_runs(run, words)("text")).alias("r")).select("r.h", "r.g", "key", "r.at", "r.m")
     places = materialize(places, "runs")
-    repeated = materialize(places.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("first")).where("n > 1"), "repeated")
-    hots = repeated.where(F.col("n") > hot)
-    if hots.limit(MOST_HOT + 1).count() <= MOST_HOT:
-        most = places.join(F.broadcast(hots), "h").unionAll(places.join(repeated.where(F.col("n") <= hot), "h"))
-    else:
-        most = places.join(repeated, "h")
+    repeated = materialize(places.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("first")).where("n > 1"), "repeated")
+    some = maybe_in(repeated.select("h"))
+    hots = F.broadcast(repeated.where(F.col("n") > hot).orderBy(F.desc("n"), "h", "g").limit(MOST_HOT).select("h", "g", "first"))
+    tagged = places.where(some(F.col("h"))).join(hots, ["h", "g"], "left")
+    rest = tagged.where("first is null").drop("first").join(repeated.select("h", "g", "first"), ["h", "g"])
+    most = tagged.where("first is not null").unionByName(rest)
     later = most.where(F.struct("key", "at") > F.col("first")).groupBy("key").agg(F.collect_set(F.struct("at", "m")).alias("starts"))
-    found = keyed.join(later, "key", "left").withColumn("c", _clean()("text", "starts"))
+    later = materialize(later, "later")
+    # Only texts that may lose something are shuffled.
+    mark = F.xxhash64("key.no_id", "key.id", "key.tie")
+    doubtful = maybe_in(later.select(mark.alias("mark")))(mark)
+    starts = F.lit(None).cast(later.schema["starts"].dataType)
+    found = keyed.where(~doubtful).withColumn("starts", starts).unionByName(keyed.where(doubtful).join(later, "key", "left"))
+    found = found.withColumn("c", _clean()("text", "starts"))
     return found.select("doc_id", F.col("c.clean").alias("text"), *[F.col(f"c.{x}").alias(x) for x in ("n_sentences", "n_removed", "cuts", "n_words_removed")])
