@@ -398,7 +398,7 @@ def brute_hits(text, items, n=8):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(found) >= 2
 
 
-@pytest.mark.parametrize("block", [1_000_000, 7])
+@pytest.mark.parametrize("block", [1_000_000, 7, 4, 1])
 def test_decontamination(spark, block):
     items = [(1, "a b c d e f g h i j"), (2, "A-B-C d e f g h"), (3, "short one"), (4, None), (5, "..."), (None, "x y"), (10, "short one"), (6, "é è ü b c d e f g")]
     rows = [*TEXTS, (20, "x a b c d e f g h i y short, ONE z a b c d e f g"), (21, "É è é è ü b c d e f g"), (22, "short"), (23, "a b c d e f g h i j " * 50)]
@@ -426,6 +426,38 @@ def test_decontamination_by_items_without_id(spark, block):
     assert {r.doc_id: r.text for r in decontam.remove_spans(docs, bench, block_windows=block).collect()}[1] == "a  b"
 
 
+def test_decontamination_holds_one_block_at_a_time(spark, monkeypatch):
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choices("abcd", k=n))
+    items = [(i, text(12)) for i in range(20)]
+    rows = [(i, text(400)) for i in range(40)]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), hard(spark, rows)
+    plans, written, gone = [], [], []
+    keep, drop = decontam.materialize, decontam.discard
+
+    def noted(df, tag):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        written.append(tag)
+        return keep(df, tag)
+
+    monkeypatch.setattr(decontam, "materialize", noted)
+    monkeypatch.setattr(decontam, "discard", lambda *d: (gone.extend(d), drop(*d)))
+    found = decontam.digest(docs, bench, block_windows=5)
+    plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+    assert len(plans) > 20 and max(len(re.findall(r"scan(?:_on)?\(", p)) for p in plans) == 1
+    # The windows, and every pass but the last, are deleted once read.
+    assert len(gone) == len(written) - 1
+    got = {r.doc_id: tuple(r)[1:] for r in found.collect()}
+    assert got == {i: brute_hits(t, items) for i, t in rows} and sum(v[1] for v in got.values()) > 0
+
+
+def test_windows_with_one_hash(monkeypatch):
+    monkeypatch.setattr(decontam, "window_hashes", lambda codes, m: np.zeros(len(codes) - m + 1, np.uint64))
+    wins = decontam.WindowSet(["a b", "b c", "a c", "d"], ["1", "2", "1", None])
+    codes = np.array([wins.code.get(w, 0) for w in [b"a", b"c", b"x", b"b", b"c", b"d", b"a", b"b"]])
+    assert sorted((i, m, [wins.items[k] for k in own]) for i, m, own in wins.find(codes)) == [(0, 2, ["1"]), (3, 2, ["2"]), (5, 1, [None]), (6, 2, ["1"])]
+
+
 # 9
 
 

@@ -74,7 +74,19 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     at = shared_path(df.sparkSession, tag)
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out._textmill_at = at
+    return out
+
+
+def discard(*written: DataFrame | None) -> None:
+    """Delete tables that ``materialize`` wrote, once no plan that will still run reads them."""
+    for df in written:
+        if at := getattr(df, "_textmill_at", None):
+            spark = df.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            df._textmill_at = None
 
 
 @atexit.register

@@ -8,8 +8,10 @@ hashes found in the broadcast set are verified word by word, and the words insid
 any occurrence are hit.
 
 The set is broadcast only in blocks of at most ``block_windows`` windows.  A larger
-benchmark is scanned in several blocks, in one pass over the texts per block with
-the spans found so far carried along, so nothing is left out at any size.
+benchmark takes one pass over the texts per block: each pass is written to the
+shared folder with the hits found so far, and its broadcast is destroyed and the
+pass before it deleted then, so that one block is held at a time, by the driver and
+by every worker, and nothing is left out at any size.
 
 Defined results: null and empty texts have no words and no hits; items without
 words never occur; repeated items are each found; items with a null id are found
@@ -24,12 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textmill.llm._common import fresh, materialize, mix64, slices, text_of
+from textmill.llm._common import discard, fresh, materialize, mix64, slices, text_of
 
-#: Windows in a broadcast block: about 150 bytes each, so 150 MB at most.
+#: Windows in a broadcast block: about 80 bytes each on the way, and 300 in a worker.
 BLOCK_WINDOWS = 1_000_000
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -40,42 +42,72 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TO_WORDS).split()
 
 
+class _Windows:
+    """Windows of one length: rows of word codes in order of their hashes, and the numbers of each one's items."""
+
+    def __init__(self, codes: np.ndarray, items: list[list[int]]):
+        self.m = codes.shape[1]
+        h = window_hashes(codes.ravel(), self.m)[:: self.m]
+        order = np.argsort(h, kind="stable")
+        self.hashes, self.codes = h[order], codes[order]
+        self.items = [items[i] for i in order.tolist()]
+        # Windows that share a hash by chance lie side by side.
+        self.most = int(np.unique(self.hashes, return_counts=True)[1].max())
+        # A small table of bits on the low part of the hash spares most searches.
+        size = 1 << max(16, int(np.ceil(np.log2(16 * len(h)))))
+        self.filled = np.zeros(size, bool)
+        self.filled[self.hashes & np.uint64(size - 1)] = True
+
+    def find(self, codes: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """Places of verified occurrences, with the numbers of the items."""
+        h = window_hashes(codes, self.m)
+        at = np.flatnonzero(self.filled[h & np.uint64(len(self.filled) - 1)])
+        near = np.searchsorted(self.hashes, h[at])
+        for _ in range(self.most):
+            inside = near < len(self.hashes)
+            at, near = at[inside], near[inside]
+            same = self.hashes[near] == h[at]
+            at, near = at[same], near[same]
+            equal = (codes[at[:, None] + np.arange(self.m)] == self.codes[near]).all(1)
+            for i, k in zip(at[equal].tolist(), near[equal].tolist(), strict=True):
+                yield i, self.items[k]
+            near = near + 1
+
+
 class WindowSet:
-    """Windows of some items, by length, with their hashes."""
-
-    def __init__(self, windows: dict[tuple[bytes, ...], set[str | None]]):
-        self.code = {w: i + 1 for i, w in enumerate(sorted({w for key in windows for w in key}))}
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, dict[tuple[int, ...], tuple[str | None, ...]]]] = {}
-        for m in sorted({len(key) for key in windows}):
-            items = {tuple(self.code[w] for w in key): tuple(ids) for key, ids in windows.items() if len(key) == m}
-            hashes = np.unique(self._hash(np.array(sorted(items), np.int64).ravel(), m)[::m])
-            # A small table of bits on the low part of the hash spares most searches.
-            size = 1 << max(16, int(np.ceil(np.log2(16 * len(hashes)))))
-            filled = np.zeros(size, bool)
-            filled[hashes & np.uint64(size - 1)] = True
-            self.by_length[m] = hashes, filled, items
-
-    @staticmethod
-    def _hash(codes: np.ndarray, m: int) -> np.ndarray:
-        n = len(codes) - m + 1
-        c = codes.astype(np.uint64)
-        h = np.zeros(n, np.uint64)
-        with np.errstate(over="ignore"):
-            for j in range(m):
-                h = h * _P + c[j : j + n] + np.uint64(1)
-        return mix64(h)
-
-    def find(self, codes: np.ndarray) -> Iterator[tuple[int, int, tuple[str | None, ...]]]:
-        """Verified occurrences: place, length, items."""
-        for m, (hashes, filled, items) in self.by_length.items():
-            if len(codes) < m:
-                continue
-            h = self._hash(codes, m)
-            at = np.flatnonzero(filled[h & np.uint64(len(filled) - 1)])
-            near = np.minimum(np.searchsorted(hashes, h[at]), len(hashes) - 1)
-            for i in at[hashes[near] == h[at]].tolist():
-                if found := items.get(tuple(codes[i : i + m].tolist())):
-                    yield i, m, found
+    """The windows of a block: (key, item_id) rows, a key being a window's words with a space between."""
+
+    def __init__(self, keys: list[str], item_ids: list[str | None]):
+        numbers: dict[str | None, int] = {}
+        by_key: dict[str, list[int]] = {}
+        for key, i in zip(keys, item_ids, strict=True):
+            by_key.setdefault(key, []).append(numbers.setdefault(i, len(numbers)))
+        self.items = list(numbers)
+        self.code: dict[bytes, int] = {}
+        rows: dict[int, tuple[list[list[int]], list[list[int]]]] = {}
+        for key, own in by_key.items():
+            codes = [self.code.setdefault(w, len(self.code) + 1) for w in key.encode("utf-8").split(b" ")]
+            of_length = rows.setdefault(len(codes), ([], []))
+            of_length[0].append(codes)
+            of_length[1].append(own)
+        self.by_length = [_Windows(np.array(codes, np.int64), own) for _, (codes, own) in sorted(rows.items())]
+
+    def find(self, codes: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
+        """Verified occurrences: place, length, numbers of the items."""
+        for windows in self.by_length:
+            if len(codes) >= windows.m:
+                for i, found in windows.find(codes):
+                    yield i, windows.m, found
+
+
+def window_hashes(codes: np.ndarray, m: int) -> np.ndarray:
+    n = len(codes) - m + 1
+    c = codes.astype(np.uint64)
+    h = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(m):
+            h = h * _P + c[j : j + n] + np.uint64(1)
+    return mix64(h)
 
 
 def _items(bench: DataFrame, item_col: str, text_col: str, n: int) -> DataFrame:
@@ -94,47 +126,45 @@ def _items(bench: DataFrame, item_col: str, text_col: str, n: int) -> DataFrame:
     return own.select("item_id", F.explode(windows("text")).alias("key")).distinct()
 
 
-def _blocks(windows: DataFrame, block_windows: int) -> Iterator[dict[tuple[bytes, ...], set[str | None]]]:
-    """The windows in blocks of a bounded size, each fetched by itself."""
-    total = windows.count()
-    parts = -(-total // block_windows) if total else 0
-    # Hash classes of half the size on average; a class past the bound is an error rather than a larger broadcast.
-    parts = parts if parts <= 1 else 2 * parts
+def _blocks(windows: DataFrame, block_windows: int) -> Iterator[pa.Table]:
+    """The windows (item_id, key) in tables of at most ``block_windows`` rows; the driver holds one hash class of about as many."""
+    parts = -(-windows.count() // block_windows)
     for k in range(parts):
-        rows = (windows if parts == 1 else windows.where(F.pmod(F.xxhash64("key", "item_id"), F.lit(parts)) == k)).limit(block_windows + 1).collect()
-        if len(rows) > block_windows:
-            raise ValueError("a block of benchmark windows is past its bound; raise block_windows")
-        block: dict[tuple[bytes, ...], set[str | None]] = {}
-        for r in rows:
-            block.setdefault(tuple(r.key.encode("utf-8").split(b" ")), set()).add(r.item_id)
-        if block:
-            yield block
-
-
-def _scan(spark, block: dict):
-    """A UDF that gives the words, hit spans and items of each text for one block."""
+        own = (windows if parts == 1 else windows.where(F.pmod(F.xxhash64("key", "item_id"), F.lit(parts)) == k)).select("item_id", "key").toArrow()
+        for at in range(0, own.num_rows, block_windows):
+            yield own.slice(at, block_windows).combine_chunks()
+
+
+def _scan(spark: SparkSession, block: pa.Table):
+    """UDFs that give the words, hit spans and items of each text for one block, and the broadcast that they use.
+
+    The second one also takes what earlier blocks gave.
+    """
     sent = spark.sparkContext.broadcast(block)
     built: list[WindowSet] = []
 
-    @F.arrow_udf(_HIT)
-    def scan(texts: pa.Array) -> pa.Array:
+    def search(texts: pa.Array, before: pa.Array | None) -> pa.Array:
         if not built:
-            built.append(WindowSet(sent.value))
+            built.append(WindowSet(sent.value.column("key").to_pylist(), sent.value.column("item_id").to_pylist()))
         wins = built[0]
-        code = wins.code.get
+        code, name = wins.code.get, wins.items.__getitem__
         counts, spans, items = [], [], []
-        for _, part in slices(texts, 1 << 19):
+        for first, part in slices(texts, 1 << 19):
             split = [words_of(t) for t in part]
             # A zero after each text keeps windows inside it.
             codes = np.fromiter((code(w, 0) for ws in split for w in (*ws, None)), np.int64, sum(map(len, split)) + len(split))
             ends = np.cumsum([len(ws) + 1 for ws in split])
             own_spans: list[list[tuple[int, int]]] = [[] for _ in split]
             own_items: list[set[str | None]] = [set() for _ in split]
+            if before is not None:
+                for row, done in enumerate(before.slice(first, len(part)).to_pylist()):
+                    own_spans[row] += [(s["a"], s["b"]) for s in done["spans"]]
+                    own_items[row].update(done["items"])
             for i, m, found in wins.find(codes):
                 row = int(np.searchsorted(ends, i, side="right"))
                 start = i - (int(ends[row - 1]) if row else 0)
                 own_spans[row].append((start, start + m))
-                own_items[row].update(found)
+                own_items[row].update(map(name, found))
             counts += map(len, split)
             spans += [merge_spans(s) for s in own_spans]
             items += [sorted(s, key=lambda x: (x is None, x or "")) for s in own_items]
@@ -143,7 +173,15 @@ def _scan(spark, block: dict):
             [pa.array(counts, pa.int64()), pa.array([[{"a": a, "b": b} for a, b in s] for s in spans], pa.list_(pair)), pa.array(items, pa.list_(pa.string()))], names=["n_words", "spans", "items"]
         )
 
-    return scan
+    @F.arrow_udf(_HIT)
+    def scan(texts: pa.Array) -> pa.Array:
+        return search(texts, None)
+
+    @F.arrow_udf(_HIT)
+    def scan_on(texts: pa.Array, before: pa.Array) -> pa.Array:
+        return search(texts, before)
+
+    return scan, scan_on, sent
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -160,24 +198,32 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def find_contamination(docs: DataFrame, bench: DataFrame, *, n: int = 8, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_windows: int = BLOCK_WINDOWS, into: str = "hits") -> DataFrame:
     """``docs`` with one more column: a struct of n_words, spans (of word places) and items.
 
-    No shuffle: the texts stay where they are.
+    No shuffle: the texts stay where they are.  With one block nothing runs until
+    the result is read; with more, all passes but the last are written first.
     """
     spark = docs.sparkSession
     windows = materialize(_items(bench, item_col, item_text_col, n), "windows")
-    scans = [_scan(spark, block) for block in _blocks(windows, block_windows)] or [_scan(spark, {})]
-    text = F.col(f"`{text_col}`").cast("string")
-    names = [fresh(docs, f"__hits{k}") for k in range(len(scans))]
-    out = docs.withColumns({name: scan(text) for name, scan in zip(names, scans, strict=True)})
-    if len(names) == 1:
-        return out.withColumnRenamed(names[0], into)
-    joined = F.array_sort(F.flatten(F.array(*[F.col(f"{x}.spans") for x in names])))
-    step = F.aggregate(
-        joined,
-        F.array().cast("array<struct<a: long, b: long>>"),
-        lambda done, s: F.when((F.size(done) > 0) & (s["a"] <= F.element_at(done, -1)["b"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["a"].alias("a"), F.greatest(F.element_at(done, -1)["b"], s["b"]).alias("b"))))).otherwise(F.concat(done, F.array(s))),
-    )
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{x}.items") for x in names]))))
-    return out.withColumn(into, F.struct(F.col(f"{names[0]}.n_words").alias("n_words"), step.alias("spans"), items.alias("items"))).drop(*names)
+    text, name = F.col(f"`{text_col}`").cast("string"), fresh(docs, "__hits")
+    now, waiting = docs, None
+    for block in _blocks(windows, block_windows):
+        if waiting is not None:
+            now = _pass(now, text, name, waiting, keep=docs)
+        waiting = block
+    empty = pa.table({"item_id": pa.array([], pa.string()), "key": pa.array([], pa.string())})
+    scan, scan_on, _ = _scan(spark, empty if waiting is None else waiting)
+    discard(windows)
+    out = now.withColumn(name, scan(text) if now is docs else scan_on(text, F.col(name)))
+    return out.withColumnRenamed(name, into)
+
+
+def _pass(now: DataFrame, text, name: str, block: pa.Table, *, keep: DataFrame) -> DataFrame:
+    """The rows with the hits of one more block, written; the block and the pass before are given up."""
+    scan, scan_on, sent = _scan(now.sparkSession, block)
+    done = materialize(now.withColumn(name, scan(text) if now is keep else scan_on(text, F.col(name))), "hits")
+    sent.destroy()
+    if now is not keep:
+        discard(now)
+    return done
 
 
 def digest(docs: DataFrame, bench: DataFrame, *, min_items: int = 2, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
