@@ -66,7 +66,7 @@ class Corpus:
         return dtm.dtm(self.tokens(), **how)
 
     def doc_stats(self) -> DataFrame:
-        return stats.doc_stats(self.tokens())
+        return stats.doc_stats_of(self.docs, self.tokenizer)
 
     def records(self, active: Column | None = None) -> DataFrame:
         return C.records(self.docs, active=active)
@@ -83,7 +83,7 @@ class Corpus:
         return kwic.characters(self.docs, patterns, **how)
 
     def rolling(self, patterns: str | Iterable[str], n: int, **how) -> DataFrame:
-        return windows.token_counts(self.tokens(), patterns, n, **how)
+        return windows.text_counts(self.docs, patterns, n, tokenizer=self.tokenizer, **how)
 
     def compare(self, by: str, topn: int | None = None) -> DataFrame:
         """Distinctive terms of each value of a metadata column against all others."""

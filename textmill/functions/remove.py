@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from textmill.functions.normalize import strip
 
@@ -114,11 +116,11 @@ def tags(text: Column, *, sep: str = " ", remove_whitespace: bool = True) -> Col
     return strip(F.regexp_replace(out, r"(?U)\s+", sep if sep else " ")) if remove_whitespace else out
 
 
-_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+@F.arrow_udf(StringType())
+def _unescaped(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else html.unescape(t) if "&" in t else t for t in texts.to_pylist()], pa.string())
 
 
 def html_unescape(text: Column) -> Column:
-    """The common named entities; ``&amp;`` last, so that nothing is unescaped twice."""
-    for name, char in _ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """All named, decimal and hexadecimal character references, each decoded once."""
+    return _unescaped(text)

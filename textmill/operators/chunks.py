@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmill.operators.rows import each
+
 _NONE = "array<int>"
 
 
@@ -16,24 +18,42 @@ def _merged_starts(size: Column, chunk: int, threshold: float, merge_final: bool
     return F.when(size > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: i * chunk)).otherwise(F.array().cast(_NONE))
 
 
-def _cut(docs: DataFrame, starts: Column, size: Column, piece, chunk_type: str, id_col: str) -> DataFrame:
-    ends = F.transform(starts, lambda s, i: F.struct(s.alias("a"), F.coalesce(F.get(starts, i + 1), size).cast("int").alias("b")))
-    own = docs.select("*", F.posexplode(ends).alias("chunk_no", "__c"))
-    return own.select(F.col(id_col).alias("doc_id"), F.col("chunk_no"), piece(F.col("__c.a"), F.col("__c.b")).alias(chunk_type))
+def _explode(docs: DataFrame, pieces: Column, chunk_type: str, id_col: str) -> DataFrame:
+    """One row per piece.  Only the pieces are repeated, never what they are cut from."""
+    return each(docs, pieces, "chunk_no", chunk_type, F.col(id_col).alias("doc_id"))
+
+
+def _slices(starts: Column, size: Column, piece) -> Column:
+    """``piece(a, b)`` for each start up to the next one."""
+    return F.transform(starts, lambda s, i: piece(s, F.coalesce(F.get(starts, i + 1), size).cast("int")))
 
 
 def by_characters(docs: DataFrame, chunk: int, *, merge_threshold: float = 0.5, merge_final: bool = False, overlap: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, chunk_no, chunk; ``overlap`` puts the end of the chunk before in front."""
-    size = F.length(text_col)
-    piece = lambda a, b: F.substr(text_col, F.greatest(a - F.when(a > 0, overlap).otherwise(0), F.lit(0)) + 1, b - F.greatest(a - F.when(a > 0, overlap).otherwise(0), F.lit(0)))
-    return _cut(docs, _merged_starts(size, chunk, merge_threshold, merge_final), size, piece, "chunk", id_col)
+    """doc_id, chunk_no, chunk; ``overlap`` puts the end of the chunk before in front.
+
+    One pass of a pattern cuts the text, so the time grows with its length and not
+    with length times chunks.
+    """
+    own = docs.select(F.col(id_col).alias(id_col), F.regexp_extract_all(text_col, F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)).alias("__c"))
+    n = F.size("__c")
+    last = F.get("__c", n - 1)
+    short = F.lit(True) if merge_final else (F.length(last) < chunk) & (F.length(last) < chunk * merge_threshold)
+    merged = F.concat(F.slice("__c", F.lit(1), F.greatest(n - 2, F.lit(0))), F.array(F.concat(F.get("__c", n - 2), last)))
+    own = own.select(id_col, F.when((n > 1) & short, merged).otherwise(F.col("__c")).alias("__m"))
+    if not overlap:
+        return _explode(own, F.col("__m"), "chunk", id_col)
+    # What lies before a chunk may be longer than the chunk before it.
+    back = -(-overlap // chunk)
+    front = lambda i: F.right(F.array_join(F.slice("__m", F.greatest(i - back, F.lit(0)) + 1, F.least(i, F.lit(back))), ""), F.lit(overlap))
+    return _explode(own, F.transform("__m", lambda c, i: F.when(i > 0, F.concat(front(i), c)).otherwise(c)), "chunk", id_col)
 
 
 def by_tokens(docs: DataFrame, chunk: int, *, merge_threshold: float = 0.5, merge_final: bool = False, overlap: int = 0, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
     """doc_id, chunk_no, tokens; ``overlap`` adds the first tokens of the next chunk."""
     size = F.size(tokens_col)
-    piece = lambda a, b: F.slice(tokens_col, a + 1, b - a + overlap)
-    return _cut(docs, _merged_starts(size, chunk, merge_threshold, merge_final), size, piece, "tokens", id_col)
+    starts = _merged_starts(size, chunk, merge_threshold, merge_final)
+    own = docs.select(F.col(id_col).alias(id_col), F.col(tokens_col).alias("__t"), starts.alias("__s"))
+    return _explode(own, _slices(F.col("__s"), F.size("__t"), lambda a, b: F.slice("__t", a + 1, b - a + overlap)), "tokens", id_col)
 
 
 def into_parts(docs: DataFrame, n: int, *, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
@@ -41,7 +61,8 @@ def into_parts(docs: DataFrame, n: int, *, id_col: str = "doc_id", tokens_col: s
     size = F.size(tokens_col)
     base, more = F.floor(size / n).cast("int"), size % n
     starts = F.filter(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i * base + F.least(i, more)), lambda s: s < size)
-    return _cut(docs, starts, size, lambda a, b: F.slice(tokens_col, a + 1, b - a), "tokens", id_col)
+    own = docs.select(F.col(id_col).alias(id_col), F.col(tokens_col).alias("__t"), starts.alias("__s"))
+    return _explode(own, _slices(F.col("__s"), F.size("__t"), lambda a, b: F.slice("__t", a + 1, b - a)), "tokens", id_col)
 
 
 def by_lines(docs: DataFrame, n: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,7 +78,7 @@ def by_pieces(docs: DataFrame, pieces: Column, n: int, sep: str, *, id_col: str
     own = docs.select(F.col(id_col).alias("doc_id"), pieces.alias("p"))
     size = F.size("p")
     starts = F.when(size > 0, F.sequence(F.lit(1), size, F.lit(n))).otherwise(F.array().cast(_NONE))
-    return own.select("doc_id", "p", F.posexplode(starts).alias("chunk_no", "s")).select("doc_id", "chunk_no", F.array_join(F.slice("p", F.col("s"), F.lit(n)), sep).alias("chunk"))
+    return _explode(own, F.transform(starts, lambda a: F.array_join(F.slice("p", a, F.lit(n)), sep)), "chunk", "doc_id")
 
 
 def on_milestones(tokens: DataFrame, milestone: str, *, keep: str | None = None) -> DataFrame:

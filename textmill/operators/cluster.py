@@ -12,6 +12,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmill.operators import blocks
+
+#: Distances of one vector to the rows of a matrix.
+METRICS = {
+    "euclidean": lambda v, x: np.sqrt(((x - v) ** 2).sum(1)),
+    "cosine": lambda v, x: 1 - (x * v).sum(1) / np.sqrt((x * x).sum(1) * (v * v).sum()),
+    "cityblock": lambda v, x: np.abs(x - v).sum(1),
+}
 #: Rows of a distance matrix that may come to the driver.
 MOST_TREE_ROWS = 5000
 
@@ -25,9 +33,15 @@ def feature_arrays(feats: DataFrame, value: str = "freq") -> DataFrame:
     return feats.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("term", F.col(value).alias("x")))), lambda s: s["x"]).alias("values"))
 
 
-def kmeans(rows: DataFrame, k: int = 2, *, seed: int = 42, max_iter: int = 300, tol: float = 1e-4, array_col: str = "values", init: str = "k-means||"):
-    """The rows with their cluster, and the model."""
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, initMode=init).fit(v := vectors(rows, array_col))
+def kmeans(rows: DataFrame, k: int = 2, *, seed: int = 42, max_iter: int = 300, tol: float = 1e-4, array_col: str = "values", init: str = "k-means||", n_init: int = 10):
+    """The rows with their cluster, and the model: the best of ``n_init`` starts by inertia, the first of equal ones."""
+    v = vectors(rows, array_col)
+    v.persist()
+    try:
+        models = [KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, initMode=init).fit(v) for i in range(n_init)]
+        model = min(models, key=lambda m: m.summary.trainingCost)
+    finally:
+        v.unpersist()
     return model.transform(v).withColumnRenamed("prediction", "cluster").drop("features"), model
 
 
@@ -55,18 +69,29 @@ def silhouette(clustered: DataFrame, *, array_col: str = "values") -> float:
     return ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(vectors(clustered, array_col))
 
 
+def silhouette_values(clustered: DataFrame, *, array_col: str = "values") -> DataFrame:
+    """The rows with their own silhouette, by squared distances.
+
+    The mean squared distance of a row to a cluster follows from the cluster's size,
+    mean and mean square: k rows go to all others, and no pair is made.  Rows alone in
+    their cluster have 0.
+    """
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    own = clustered.withColumn("__v", F.transform(array_col, lambda x: x.cast("double"))).withColumn("__q", dot("__v", "__v"))
+    sums = own.select("cluster", "__q", F.posexplode("__v").alias("i", "x")).groupBy("cluster", "i").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.avg("__q").alias("q"))
+    about = sums.groupBy("cluster").agg(F.first("n").alias("n"), F.first("q").alias("q"), F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("m"))
+    every = F.broadcast(about.agg(F.collect_list(F.struct("cluster", "n", "q", "m")).alias("__c")))
+    met = own.crossJoin(every).withColumn("__d", F.transform("__c", lambda c: F.struct(c["cluster"].alias("c"), c["n"].alias("n"), (F.col("__q") + c["q"] - 2 * dot(F.col("__v"), c["m"])).alias("d"))))
+    mine = F.filter("__d", lambda d: d["c"] == F.col("cluster"))[0]
+    inner, outer = mine["d"] * mine["n"] / (mine["n"] - 1), F.array_min(F.transform(F.filter("__d", lambda d: d["c"] != F.col("cluster")), lambda d: d["d"]))
+    value = F.when((mine["n"] == 1) | outer.isNull(), 0.0).otherwise((outer - inner) / F.greatest(inner, outer))
+    return met.withColumn("silhouette", F.coalesce(value, F.lit(0.0))).select(*clustered.columns, "silhouette")
+
+
 def distances(rows: DataFrame, queries: DataFrame, *, metric: str = "euclidean", id_col: str = "doc_id", array_col: str = "values") -> DataFrame:
-    """query_id, doc_id, distance of stated query rows to all rows: the queries go to every task in blocks."""
-    q = queries.select(F.col(id_col).alias("query_id"), F.transform(array_col, lambda x: x.cast("double")).alias("__w"))
-    own = rows.select(F.col(id_col).alias("doc_id"), F.transform(array_col, lambda x: x.cast("double")).alias("__v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    if metric == "cosine":
-        d = 1 - dot("__v", "__w") / F.sqrt(dot("__v", "__v") * dot("__w", "__w"))
-    elif metric == "cityblock":
-        d = F.aggregate(F.zip_with("__v", "__w", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
-    else:
-        d = F.sqrt(F.aggregate(F.zip_with("__v", "__w", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    return own.join(q, F.col("doc_id") != F.col("query_id")).select("query_id", "doc_id", d.alias("distance"))
+    """query_id, doc_id, distance of stated query rows to all rows: the queries go through in blocks of a bounded size."""
+    vec = lambda d: d.select(F.col(id_col).alias("doc_id"), F.transform(array_col, lambda x: x.cast("double")).alias("v"))
+    return blocks.against(vec(rows), vec(queries), METRICS[metric], "distance")
 
 
 def to_matrix(rows: DataFrame, *, id_col: str = "doc_id", array_col: str = "values") -> tuple[list, np.ndarray]:

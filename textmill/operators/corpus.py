@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.functions.tokens import whitespace_tokens
+from textmill.operators.rows import each
 
 
 def dedupe(docs: DataFrame, subset: Iterable[str], order: str = "doc_id") -> DataFrame:
@@ -101,7 +102,7 @@ def stats(rows: DataFrame) -> DataFrame:
 def inverted_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """term, doc_id: which documents hold which lower-case words; write it partitioned or bucketed by term for search."""
     words = F.regexp_extract_all(F.lower(text_col), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    return docs.select(F.explode(F.array_distinct(words)).alias("term"), F.col(id_col).alias("doc_id"))
+    return each(docs, F.array_distinct(words), "__i", "term", F.col(id_col).alias("doc_id")).select("term", "doc_id")
 
 
 def search(index: DataFrame, query: str) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmill.operators.rows import each
+
 
 def string_matches(docs: DataFrame, patterns: str | Iterable[str], *, case_sensitive: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, end, text: all matches of all patterns as character spans, in order of start."""
@@ -21,7 +23,7 @@ def string_matches(docs: DataFrame, patterns: str | Iterable[str], *, case_sensi
     def spans(texts: pa.Array) -> pa.Array:
         return pa.array([sorted(({"start": m.start(), "end": m.end(), "text": m[0]} for r in compiled for m in r.finditer(t or "")), key=lambda s: (s["start"], s["end"])) for t in texts.to_pylist()], kind)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.explode(spans(F.col(text_col))).alias("s")).select("doc_id", "s.*")
+    return each(docs, spans(F.col(text_col)), "__i", "s", F.col(id_col).alias("doc_id")).select("doc_id", "s.*")
 
 
 def tokens_with_offsets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -32,7 +34,7 @@ def tokens_with_offsets(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     def placed(texts: pa.Array) -> pa.Array:
         return pa.array([[{"pos": i, "token": m[0], "start": m.start(), "end": m.end()} for i, m in enumerate(re.finditer(r"\S+", t or ""))] for t in texts.to_pylist()], kind)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.explode(placed(F.col(text_col))).alias("t")).select("doc_id", "t.*")
+    return each(docs, placed(F.col(text_col)), "__i", "t", F.col(id_col).alias("doc_id")).select("doc_id", "t.*")
 
 
 def spans_to_tokens(spans: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -49,20 +51,22 @@ def token_matches(tokens: DataFrame, pattern: str, *, case_sensitive: bool = Tru
 def lines(docs: DataFrame, *, step: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, milestone, text: groups of ``step`` non-empty lines."""
     parts = F.filter(F.split(text_col, "\n"), lambda x: F.trim(x) != "")
-    own = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(parts).alias("i", "line"))
+    return _groups(docs, parts, step, "\n", id_col)
+
+
+def _groups(docs: DataFrame, parts, step: int, sep: str, id_col: str) -> DataFrame:
+    """``step`` parts of a text at a time."""
+    own = docs.select(F.col(id_col).alias("doc_id"), parts.alias("__p"))
     if step == 1:
-        return own.select("doc_id", F.col("i").alias("milestone"), F.col("line").alias("text"))
-    grouped = own.groupBy("doc_id", F.floor(F.col("i") / step).cast("int").alias("milestone")).agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("x"))
-    return grouped.select("doc_id", "milestone", F.array_join(F.transform("x", lambda s: s["line"]), "\n").alias("text"))
+        return each(own, F.col("__p"), "milestone", "text", "doc_id")
+    starts = F.when(F.size("__p") > 0, F.sequence(F.lit(1), F.size("__p"), F.lit(step))).otherwise(F.array().cast("array<int>"))
+    return each(own, F.transform(starts, lambda a: F.array_join(F.slice("__p", a, F.lit(step)), sep)), "milestone", "text", "doc_id")
 
 
 def sentence_groups(docs: DataFrame, *, step: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, milestone, text: groups of ``step`` sentences."""
     parts = F.filter(F.split(text_col, r"(?<=[.!?])\s+"), lambda x: x != "")
-    size = F.size(parts)
-    starts = F.when(size > 0, F.sequence(F.lit(1), size, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    own = docs.select(F.col(id_col).alias("doc_id"), parts.alias("p"), F.posexplode(starts).alias("milestone", "s"))
-    return own.select("doc_id", "milestone", F.array_join(F.slice("p", F.col("s"), F.lit(step)), " ").alias("text"))
+    return _groups(docs, parts, step, " ", id_col)
 
 
 def iob(tokens: DataFrame, is_milestone: str, *, most: int = 20) -> DataFrame:

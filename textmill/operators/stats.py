@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmill.functions import tokens as ft
+from textmill.operators import arrays
+
 
 def doc_stats(tokens: DataFrame) -> DataFrame:
     """doc_id, total_tokens, total_terms, hapax and dis legomena, vocabulary density in percent."""
@@ -18,6 +23,17 @@ def doc_stats(tokens: DataFrame) -> DataFrame:
     )
 
 
+def doc_stats_of(docs: DataFrame, tokenizer: Callable[[Column], Column] = ft.whitespace_tokens, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same from the texts, a row for each that has tokens: no token leaves its row, and nothing is shuffled."""
+    own = docs.select(F.col(id_col).alias("doc_id"), arrays.term_statistics(tokenizer(F.col(text_col))).alias("s")).select("doc_id", "s.*").where("total_tokens > 0")
+    return own.withColumn("vocabulary_density", F.round(100 * F.col("total_terms") / F.col("total_tokens"), 2))
+
+
+def mattr_of(docs: DataFrame, window: int = 50, tokenizer: Callable[[Column], Column] = ft.whitespace_tokens, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, mattr from the texts, a row for each that has tokens; no shuffle."""
+    return docs.select(F.col(id_col).alias("doc_id"), arrays.moving_ttr(window)(tokenizer(F.col(text_col))).alias("mattr")).where("mattr is not null")
+
+
 def mean_and_spread(stats: DataFrame, column: str = "total_tokens") -> DataFrame:
     """mean and sample standard deviation."""
     return stats.agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("standard_deviation"))

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmill.functions import tokens as ft
+from textmill.operators import arrays, blocks
+from textmill.operators import tokens as T
+from textmill.operators.rows import each
+from textmill.shared import materialize
+
 #: Words, white space that carries structure, and marks.
 STRUCTURE = r"(?U)([\p{L}\p{N}_]+|\n{2,}| {2,}|[^\p{L}\p{N}_\s])"
 
@@ -16,7 +25,7 @@ def structural_tokens(docs: DataFrame, *, mode: str = "all", lowercase: bool = T
     names = {"\n": "[WS_MULTIPLE_NEWLINE]", "\x01": "[WS_TRAILING_SPACE]", " ": "[WS_DOUBLE_SPACE]"}
     marker = lambda t: F.when(t.startswith("\n"), names["\n"]).when(t == "\x01", names["\x01"]).when(t.startswith(" "), names[" "]).otherwise(t)
     found = F.transform(raw, marker)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(found).alias("pos", "token"))
+    rows = each(docs, found, "pos", "token", F.col(id_col).alias("doc_id"))
     kinds = {"words": F.col("token").rlike(r"^[\p{L}\p{N}_]"), "whitespace": F.col("token").startswith("[WS_"), "punctuation": ~F.col("token").rlike(r"^[\p{L}\p{N}_]") & ~F.col("token").startswith("[WS_")}
     return rows.where(kinds[mode]) if mode in kinds else rows
 
@@ -32,6 +41,32 @@ def features(counts: DataFrame, most: int = 100) -> DataFrame:
     return grid.join(counts, ["doc_id", "term"], "left").select("doc_id", "term", (F.coalesce("n", F.lit(0)) / F.col("size")).alias("freq"))
 
 
+def profiles(docs: DataFrame, most: int = 100, tokenizer: Callable[[Column], Column] = ft.whitespace_tokens, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
+    """The same as arrays: doc_id and values (the frequency of each of the commonest terms), and these terms in order.
+
+    One pass counts the corpus for the terms (``most`` strings come to the driver), one
+    makes the arrays row by row, without a shuffle, and writes them to the shared folder,
+    as all that is done with them reads them several times.  Texts without tokens get none.
+    """
+    counts = T.term_counts(T.tokens(docs, tokenizer, id_col=id_col, text_col=text_col))
+    terms = sorted(r.term for r in T.most_common(counts, most).collect())
+    own = docs.select(F.col(id_col).alias("doc_id"), arrays.shares(terms)(tokenizer(F.col(text_col))).alias("values")).where("values is not null")
+    return materialize(own, "profiles"), terms
+
+
+def long(values: DataFrame, terms: list[str], value: str = "freq") -> DataFrame:
+    """doc_id, term and value of arrays in the order of ``terms``."""
+    names = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
+    return each(values, F.col("values"), "__i", value, "doc_id").select("doc_id", F.element_at(names, F.col("__i") + 1).alias("term"), value)
+
+
+def burrows_values(values: DataFrame) -> DataFrame:
+    """doc_id, values: the z-scores of arrays over documents, by the population deviation (1e-6 where it is 0)."""
+    by = each(values, F.col("values"), "i", "x").groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("i").collect()
+    mean, spread = (F.array(*[F.lit(float(x)) for x in xs]).cast("array<double>") for xs in ([r.m for r in by], [r.s or 1e-6 for r in by]))
+    return values.select("doc_id", F.zip_with(F.zip_with("values", mean, lambda a, b: a - b), spread, lambda a, b: a / b).alias("values"))
+
+
 def burrows_z(feats: DataFrame) -> DataFrame:
     """doc_id, term, z over documents, by the population deviation (1e-6 where it is 0)."""
     by = feats.groupBy("term").agg(F.avg("freq").alias("m"), F.stddev_pop("freq").alias("s"))
@@ -43,22 +78,16 @@ def tfidf(feats: DataFrame, n_docs: int) -> DataFrame:
     return feats.join(F.broadcast(df), "term").select("doc_id", "term", (F.col("freq") * (F.log(F.lit(1 + n_docs) / (1 + F.col("df"))) + 1)).alias("weight"))
 
 
-def _vectors(z: DataFrame) -> DataFrame:
-    return z.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("term", "z"))), lambda x: x["z"]).alias("v"))
-
-
-def delta(z: DataFrame, queries: DataFrame, *, kind: str = "classic") -> DataFrame:
-    """query_id, doc_id, delta: Burrows' Delta of the stated query documents to all others.
+def delta(values: DataFrame, queries: DataFrame, *, kind: str = "classic") -> DataFrame:
+    """query_id, doc_id, delta: Burrows' Delta of the stated query documents (doc_id) to all others.
 
-    Vectors have a fixed number of features, and the queries (doc_id) are a stated
-    set that goes by broadcast in blocks.
+    z-scores come as arrays (doc_id, values) or as a long table (doc_id, term, z).
     """
-    v = _vectors(z)
-    q = v.join(queries.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), F.col("v").alias("w"))
-    diff = F.zip_with("v", "w", (lambda a, b: F.abs(a - b)) if kind == "classic" else (lambda a, b: (a - b) * (a - b)))
-    total = F.aggregate(diff, F.lit(0.0), lambda s, x: s + x)
-    score = total / F.size("v") if kind == "classic" else F.sqrt(total)
-    return v.join(F.broadcast(q), F.col("doc_id") != F.col("query_id")).select("query_id", "doc_id", score.alias("delta"))
+    if "values" not in values.columns:
+        values = values.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("term", "z"))), lambda x: x["z"]).alias("values"))
+    score = (lambda v, x: np.abs(x - v).mean(1)) if kind == "classic" else (lambda v, x: np.sqrt(((x - v) ** 2).sum(1)))
+    v = values.select("doc_id", F.col("values").alias("v"))
+    return blocks.against(v, v.join(queries.select("doc_id").distinct(), "doc_id", "left_semi"), score, "delta")
 
 
 def scale(feats: DataFrame, by: str, value: str, kind: str = "z") -> DataFrame:

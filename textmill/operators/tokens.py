@@ -8,17 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.functions import tokens as ft
+from textmill.operators.rows import each
 
 
 def tokens(docs: DataFrame, tokenizer: Callable[[Column], Column] = ft.whitespace_tokens, *, id_col: str = "doc_id", text_col: str = "text", keep: Iterable[str] = ()) -> DataFrame:
     """doc_id, pos, token (and the columns ``keep``): a row for each token, places from 0.  No shuffle."""
-    return docs.select(F.col(id_col).alias("doc_id"), *keep, F.posexplode(tokenizer(F.col(text_col))).alias("pos", "token"))
+    return each(docs, tokenizer(F.col(text_col)), "pos", "token", F.col(id_col).alias("doc_id"), *keep)
 
 
 def sentences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, sent_no, sentence: cut after ``.``, ``!`` or ``?`` before white space."""
     parts = F.filter(F.split(F.col(text_col), r"(?<=[.!?])\s+"), lambda s: s != "")
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(parts).alias("sent_no", "sentence"))
+    return each(docs, parts, "sent_no", "sentence", F.col(id_col).alias("doc_id"))
 
 
 def term_counts(tokens: DataFrame, *by: str) -> DataFrame:
@@ -48,7 +49,7 @@ def ngrams(docs: DataFrame, n: int = 2, *, tokenizer: Callable[[Column], Column]
     """doc_id, pos, ngram; ``filters`` go to the token filter, ``min_freq`` drops rarer grams of the whole corpus."""
     words = tokenizer(F.lower(text_col) if lower else F.col(text_col))
     words = ft.filter_tokens(words, **filters) if filters else words
-    grams = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(ft.ngrams(words, n)).alias("pos", "ngram"))
+    grams = each(docs, ft.ngrams(words, n), "pos", "ngram", F.col(id_col).alias("doc_id"))
     if min_freq <= 1:
         return grams
     common = grams.groupBy("ngram").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_freq).select("ngram")

@@ -1,16 +1,21 @@
 """Rolling windows: counts, averages and ratios of patterns, without building the windows.
 
-A token window is a frame over the long token table, partitioned by document; a
-character window is a running sum over match places.  Only full windows exist.
+From texts, sums come from running totals within the row, with no shuffle; from a
+long token table, a window is a frame partitioned by document.  Only full windows
+exist.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmill.functions import tokens as ft
+from textmill.operators import arrays
+from textmill.operators.rows import each
+
 
 def _hit(token: Column, pattern: str, mode: str, case_sensitive: bool) -> Column:
     if mode == "regex":
@@ -28,6 +33,17 @@ def token_counts(tokens: DataFrame, patterns: str | Iterable[str], n: int, *, mo
     return tokens.select("doc_id", F.col("pos").alias("start"), *cols, full.alias("__full")).where("__full").drop("__full")
 
 
+def text_counts(docs: DataFrame, patterns: str | Iterable[str], n: int, *, mode: str = "exact", case_sensitive: bool = False, tokenizer: Callable[[Column], Column] = ft.whitespace_tokens, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same from the texts: doc_id, start and a column per pattern."""
+    patterns = [patterns] if isinstance(patterns, str) else list(patterns)
+    names = [p if case_sensitive else p.lower() for p in patterns]
+    own = docs.select(F.col(id_col).alias("doc_id"), tokenizer(F.col(text_col)).alias("__t"))
+    hit = lambda p: F.transform("__t", lambda t: _hit(t, p, mode, case_sensitive))
+    hits = F.struct(*[hit(p).alias(f"h{i}") for i, p in enumerate(patterns)])
+    rows = each(own, arrays.window_sums(names, n)(hits), "__i", "w", "doc_id")
+    return rows.select("doc_id", F.col("w.start").alias("start"), *[F.col(f"w.s{i}").alias(name) for i, name in enumerate(names)])
+
+
 def averages(counts: DataFrame, n: int) -> DataFrame:
     """Counts divided by the window size."""
     return counts.select("doc_id", "start", *[(F.col(f"`{c}`") / n).alias(c) for c in counts.columns if c not in ("doc_id", "start")])
@@ -42,24 +58,27 @@ def ratios(counts: DataFrame) -> DataFrame:
 
 def string_windows(docs: DataFrame, n: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, window: all windows of ``n`` characters."""
-    size = F.length(text_col)
-    starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"), F.explode(starts).alias("__s")).select("doc_id", (F.col("__s") - 1).alias("start"), F.substr("__text", F.col("__s"), F.lit(n)).alias("window"))
+    return each(docs, arrays.text_windows(n)(F.col(text_col)), "start", "window", F.col(id_col).alias("doc_id"))
 
 
 def token_windows(tokens: DataFrame, n: int) -> DataFrame:
-    """doc_id, start, window (array): all windows of ``n`` tokens."""
+    """doc_id, start, window (array): all windows of ``n`` tokens of a long token table."""
     frame = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.currentRow, n - 1)
     return tokens.select("doc_id", F.col("pos").alias("start"), F.collect_list("token").over(frame).alias("window")).where(F.size("window") == n)
 
 
+def text_token_windows(docs: DataFrame, n: int, tokenizer: Callable[[Column], Column] = ft.whitespace_tokens, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same from the texts, with no shuffle."""
+    own = docs.select(F.col(id_col).alias("doc_id"), tokenizer(F.col(text_col)).alias("__t"))
+    starts = F.when(F.size("__t") >= n, F.sequence(F.lit(1), F.size("__t") - n + 1)).otherwise(F.array().cast("array<int>"))
+    return each(own, F.transform(starts, lambda i: F.slice("__t", i, F.lit(n))), "start", "window", "doc_id")
+
+
 def char_counts(docs: DataFrame, pattern: str, n: int, *, case_sensitive: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, start, n: non-overlapping occurrences of a literal in each window of ``n`` characters."""
+    """doc_id, start, n: non-overlapping occurrences of a literal in each window of ``n`` characters; no window is made."""
     text = F.col(text_col) if case_sensitive else F.lower(text_col)
-    pat = pattern if case_sensitive else pattern.lower()
-    windows = string_windows(docs.withColumn(text_col, text), n, id_col=id_col, text_col=text_col)
-    count = ((F.length("window") - F.length(F.replace("window", F.lit(pat), F.lit("")))) / len(pat)).cast("long")
-    return windows.select("doc_id", "start", count.alias("n"))
+    counts = arrays.text_window_counts(pattern if case_sensitive else pattern.lower(), n)(text)
+    return each(docs, counts, "start", "n", F.col(id_col).alias("doc_id"))
 
 
 def number_of_windows(size: Column, n: int) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from textmill import streaming
@@ -11,6 +9,7 @@ from textmill.functions import tokens as ft
 from textmill.operators import cluster, distinct, dtm, keyterms, stylometry, topics
 from textmill.operators import tokens as T
 from textmill.queries import TOKENS, query, table
+from textmill.shared import shared_path
 
 _DTM = f"WITH {TOKENS}, c AS (SELECT doc_id, token AS term, count(*)::BIGINT AS n FROM t GROUP BY ALL)"
 
@@ -70,25 +69,25 @@ def dtm_percent_per_doc(spark, sf_dir):
 
 
 @query(
-    f"WITH {TOKENS} SELECT token AS term, count(*) FILTER (lang = 'de')::BIGINT AS de, count(*) FILTER (lang = 'en')::BIGINT AS en, count(*) FILTER (lang = 'es')::BIGINT AS es, count(*) FILTER (lang = 'fr')::BIGINT AS fr, count(*) FILTER (lang IN ('de', 'en', 'es', 'fr'))::BIGINT AS Total FROM t GROUP BY token HAVING count(*) >= 3"
+    f"WITH {TOKENS} SELECT token AS term, count(*) FILTER (lang = 'de')::BIGINT AS de, count(*) FILTER (lang = 'en')::BIGINT AS en, count(*) FILTER (lang = 'es')::BIGINT AS es, count(*) FILTER (lang = 'fr')::BIGINT AS fr, count(*) FILTER (lang IN ('de', 'en', 'es', 'fr'))::BIGINT AS Total FROM t GROUP BY token"
 )
 def dtm_pivot_lang(spark, sf_dir):
     c = T.term_counts(toks(spark, sf_dir, "lang"), "lang")
-    return dtm.pivot(c, "lang", ["de", "en", "es", "fr"], total=True).where("Total >= 3")
+    return dtm.pivot(c, "lang", ["de", "en", "es", "fr"], total=True)
 
 
-@query(f"{_DTM} SELECT term, sum(n)::BIGINT AS total FROM c GROUP BY term HAVING sum(n) >= 2")
+@query(f"{_DTM} SELECT term, sum(n)::BIGINT AS total FROM c GROUP BY term")
 def sorted_term_counts(spark, sf_dir):
-    return dtm.sorted_term_counts(matrix(spark, sf_dir)).where("total >= 2")
+    return dtm.sorted_term_counts(matrix(spark, sf_dir))
 
 
 @query(
     f"{_DTM}, k AS (SELECT count(*) AS k FROM documents), s AS (SELECT term, sum(n) AS total, list_sort(list(n)) AS l, count(*) AS df FROM c GROUP BY term) "
-    "SELECT term, total::BIGINT AS total, round(total / k, 6)::DOUBLE AS mean, ((CASE WHEN (k + 1) // 2 > k - df THEN l[((k + 1) // 2 - (k - df))] ELSE 0 END + CASE WHEN (k + 2) // 2 > k - df THEN l[((k + 2) // 2 - (k - df))] ELSE 0 END) / 2)::DOUBLE AS median FROM s, k WHERE total >= 20"
+    "SELECT term, total::BIGINT AS total, round(total / k, 6)::DOUBLE AS mean, ((CASE WHEN (k + 1) // 2 > k - df THEN l[((k + 1) // 2 - (k - df))] ELSE 0 END + CASE WHEN (k + 2) // 2 > k - df THEN l[((k + 2) // 2 - (k - df))] ELSE 0 END) / 2)::DOUBLE AS median FROM s, k"
 )
 def dtm_margins(spark, sf_dir):
     d = docs(spark, sf_dir)
-    return dtm.margins(matrix(spark, sf_dir), d.count()).where("total >= 20").withColumn("mean", F.round("mean", 6))
+    return dtm.margins(matrix(spark, sf_dir), d.count()).withColumn("mean", F.round("mean", 6))
 
 
 @query(
@@ -103,7 +102,7 @@ _Z = "(a / na - b / nb) / sqrt(((a + b) / (na + nb)) * (1 - (a + b) / (na + nb))
 
 
 @query(
-    f"WITH {TOKENS}, s AS (SELECT token AS term, (count(*) FILTER (lang = 'en'))::DOUBLE AS a, (count(*) FILTER (lang <> 'en'))::DOUBLE AS b FROM t GROUP BY token), k AS (SELECT sum(a) AS na, sum(b) AS nb FROM s) SELECT term, round({_Z}, 6) AS z_score FROM s, k WHERE {_Z} <> 0"
+    f"WITH {TOKENS}, s AS MATERIALIZED (SELECT token AS term, (count(*) FILTER (lang = 'en'))::DOUBLE AS a, (count(*) FILTER (lang <> 'en'))::DOUBLE AS b FROM t GROUP BY token), k AS (SELECT sum(a) AS na, sum(b) AS nb FROM s), z AS MATERIALIZED (SELECT term, {_Z} AS z FROM s, k) SELECT term, round(z, 6) AS z_score FROM z WHERE z <> 0"
 )
 def ztest_lang(spark, sf_dir):
     t = toks(spark, sf_dir, "lang")
@@ -112,15 +111,14 @@ def ztest_lang(spark, sf_dir):
 
 
 @query(
-    f"WITH {TOKENS}, g AS (SELECT lang, lower(token) || ' ' || lead(lower(token)) OVER (PARTITION BY doc_id ORDER BY pos) AS term FROM t), s AS (SELECT term, (count(*) FILTER (lang = 'de'))::DOUBLE AS a, (count(*) FILTER (lang <> 'de'))::DOUBLE AS b FROM g WHERE term IS NOT NULL GROUP BY term), k AS (SELECT sum(a) AS na, sum(b) AS nb FROM s) "
-    f"SELECT term, round({_Z}, 6) AS z_score FROM s, k WHERE {_Z} <> 0 AND a + b >= 3"
+    f"WITH {TOKENS}, g AS (SELECT lang, lower(token) || ' ' || lead(lower(token)) OVER (PARTITION BY doc_id ORDER BY pos) AS term FROM t), s AS MATERIALIZED (SELECT term, (count(*) FILTER (lang = 'de'))::DOUBLE AS a, (count(*) FILTER (lang <> 'de'))::DOUBLE AS b FROM g WHERE term IS NOT NULL GROUP BY term), k AS (SELECT sum(a) AS na, sum(b) AS nb FROM s), z AS MATERIALIZED (SELECT term, {_Z} AS z FROM s, k) "
+    "SELECT term, round(z, 6) AS z_score FROM z WHERE z <> 0"
 )
 def ztest_bigrams(spark, sf_dir):
     g = T.ngrams(docs(spark, sf_dir), 2).join(docs(spark, sf_dir).select("doc_id", "lang"), "doc_id").withColumnRenamed("ngram", "token")
     c = lambda cond: T.term_counts(g.where(cond))
     z = distinct.z_test(c("lang = 'de'"), c("lang <> 'de'"))
-    keep = T.term_counts(g).where("n >= 3").select("term")
-    return z.join(keep, "term", "left_semi").select("term", F.round("z_score", 6).alias("z_score"))
+    return z.select("term", F.round("z_score", 6).alias("z_score"))
 
 
 _REST = "(n / g - (t - n) / (al - g)) / sqrt((t / al) * (1 - t / al) * (1 / g + 1 / (al - g)))"
@@ -171,16 +169,18 @@ def compare_docs_to_classes(spark, sf_dir):
 @query(
     f"{_DTM}, l AS (SELECT doc_id, lang = 'en' AS g FROM documents), k AS (SELECT count(*) FILTER (g) AS n1, count(*) FILTER (NOT g) AS n2 FROM l), b AS (SELECT term, n, count(*) FILTER (g) AS a, count(*) FILTER (NOT g) AS b FROM c JOIN l USING (doc_id) GROUP BY ALL), "
     "r AS (SELECT *, n1 + n2 - sum(a + b) OVER (PARTITION BY term) AS z, coalesce(sum(a + b) OVER (PARTITION BY term ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b, k), "
-    "s AS (SELECT term, sum(a * (z + before + (a + b + 1) / 2)) AS r, sum(a) AS present, any_value(z) AS z, any_value(n1) AS n1, any_value(n2) AS n2, sum(a * n) AS s1, sum(b * n) AS s2, sum(a + b) AS df FROM r GROUP BY term) "
-    "SELECT term, (r + (n1 - present) * (z + 1) / 2 - n1 * (n1 + 1) / 2)::DOUBLE AS u_statistic, round(s1 / n1, 6)::DOUBLE AS target_mean, round(s2 / n2, 6)::DOUBLE AS comparison_mean FROM s WHERE df >= 3"
+    "s AS (SELECT term, sum(a * (z + before + (a + b + 1) / 2)) AS r, sum(a) AS present, any_value(z) AS z, any_value(n1) AS n1, any_value(n2) AS n2, sum(a * n) AS s1, sum(b * n) AS s2, sum((a + b) ^ 3 - (a + b)) AS ties FROM r GROUP BY term), "
+    "u AS (SELECT term, (r + (n1 - present) * (z + 1) / 2 - n1 * (n1 + 1) / 2)::DOUBLE AS u, s1 / n1 AS m1, s2 / n2 AS m2, n1, n2, (n1 + n2) AS n, ties + z ^ 3 - z AS ties FROM s), v AS (SELECT *, n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1.0))) AS var FROM u), "
+    # The error function by its series of positive terms; beyond 6 its complement is 0 to any rounding.
+    "x AS (SELECT *, greatest(abs(u - n1 * n2 / 2) - 0.5, 0) / sqrt(var) / sqrt(2) AS x FROM v WHERE var > 0), "
+    "e AS (SELECT *, CASE WHEN x <= 0 THEN 1.0 WHEN x > 6 THEN 0.0 ELSE 1 - 2 / sqrt(pi()) * exp(-x * x) * list_sum(list_transform(range(160), lambda k: exp(2 * k * ln(2) + (2 * k + 1) * ln(x) + lgamma(k + 1) - lgamma(2 * k + 2)))) END AS p FROM x) "
+    "SELECT term, u AS u_statistic, abs(round(p, 6)) AS p_value, round(m1, 6)::DOUBLE AS target_mean, round(m2, 6)::DOUBLE AS comparison_mean, CASE WHEN round(100 * (m1 - m2), 2) = 0 THEN '0.00%' ELSE printf('%.2f', round(100 * (m1 - m2), 2)) || '%' END AS difference FROM e"
 )
 def mann_whitney_terms(spark, sf_dir):
     d = docs(spark, sf_dir).select("doc_id", (F.col("lang") == "en").alias("g"))
     sizes = d.agg(F.count_if("g").alias("a"), F.count_if(~F.col("g")).alias("b")).first()
-    c = matrix(spark, sf_dir).join(d, "doc_id")
-    u = distinct.mann_whitney(c, F.col("g"), sizes.a, sizes.b)
-    common = matrix(spark, sf_dir).groupBy("term").agg(F.count("*").alias("df")).where("df >= 3")
-    return u.join(common.select("term"), "term", "left_semi").select("term", "u_statistic", F.round("target_mean", 6).alias("target_mean"), F.round("comparison_mean", 6).alias("comparison_mean"))
+    u = distinct.mann_whitney(matrix(spark, sf_dir).join(d, "doc_id"), F.col("g"), sizes.a, sizes.b)
+    return u.select("term", "u_statistic", F.round("p_value", 6).alias("p_value"), F.round("ave_freq", 6).alias("target_mean"), F.round("comparison_mean", 6).alias("comparison_mean"), "difference")
 
 
 @query(
@@ -196,8 +196,12 @@ _FEATS = f"{_DTM}, z AS (SELECT doc_id, sum(n) AS size FROM c GROUP BY doc_id),
 _BZ = f"{_FEATS}, m AS (SELECT term, avg(freq) AS m, stddev_pop(freq) AS s FROM f GROUP BY term), bz AS (SELECT doc_id, term, (freq - m) / CASE WHEN s = 0 THEN 1e-6 ELSE s END AS z FROM f JOIN m USING (term))"
 
 
+def profiles(spark, sf_dir):
+    return stylometry.profiles(docs(spark, sf_dir))
+
+
 def feats(spark, sf_dir):
-    return stylometry.features(matrix(spark, sf_dir))
+    return stylometry.long(*profiles(spark, sf_dir))
 
 
 @query(f"{_FEATS} SELECT term, round(avg(freq), 9) AS mean, count(*) FILTER (freq > 0)::BIGINT AS df FROM f GROUP BY term")
@@ -213,7 +217,8 @@ def stylo_tfidf(spark, sf_dir):
 
 @query(f"{_BZ} SELECT doc_id, round(sum(z), 4) + 0.0 AS total, round(max(z), 5) AS most FROM bz GROUP BY doc_id")
 def burrows_z(spark, sf_dir):
-    return stylometry.burrows_z(feats(spark, sf_dir)).groupBy("doc_id").agg((F.round(F.sum("z"), 4) + 0.0).alias("total"), F.round(F.max("z"), 5).alias("most"))
+    values, terms = profiles(spark, sf_dir)
+    return stylometry.long(stylometry.burrows_values(values), terms, "z").groupBy("doc_id").agg((F.round(F.sum("z"), 4) + 0.0).alias("total"), F.round(F.max("z"), 5).alias("most"))
 
 
 def _delta(score: str) -> str:
@@ -222,14 +227,14 @@ def _delta(score: str) -> str:
 
 @query(_delta("avg(abs(q.z - b.z))"))
 def burrows_delta(spark, sf_dir):
-    z = stylometry.burrows_z(feats(spark, sf_dir))
+    z = stylometry.burrows_values(profiles(spark, sf_dir)[0])
     d = stylometry.delta(z, docs(spark, sf_dir).where("doc_id % 100 = 0"))
     return d.withColumn("delta", F.round("delta", 5))
 
 
 @query(_delta("sqrt(sum((q.z - b.z) ^ 2))"))
 def quadratic_delta(spark, sf_dir):
-    z = stylometry.burrows_z(feats(spark, sf_dir))
+    z = stylometry.burrows_values(profiles(spark, sf_dir)[0])
     d = stylometry.delta(z, docs(spark, sf_dir).where("doc_id % 100 = 0"), kind="quadratic")
     return d.withColumn("delta", F.round("delta", 5))
 
@@ -336,11 +341,11 @@ _STOPS = ", ".join(f"'{w}'" for w in ft.STOPWORDS)
 @query(
     "WITH tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]') AS w FROM documents), t AS (SELECT doc_id, unnest(w) AS token, unnest(range(len(w))) AS pos FROM tok), "
     f"v AS (SELECT doc_id, token, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM t WHERE regexp_matches(token, '^[\\p{{L}}\\p{{N}}_]') AND token NOT IN ({_STOPS})), "
-    "r AS (SELECT doc_id, run, string_agg(token, ' ' ORDER BY pos) AS candidate, count(*) AS length FROM v GROUP BY ALL) SELECT candidate, count(*)::BIGINT AS n, max(length)::BIGINT AS length FROM r GROUP BY candidate HAVING count(*) >= 3"
+    "r AS (SELECT doc_id, run, string_agg(token, ' ' ORDER BY pos) AS candidate, count(*) AS length FROM v GROUP BY ALL) SELECT candidate, count(*)::BIGINT AS n, max(length)::BIGINT AS length FROM r GROUP BY candidate"
 )
 def candidate_runs(spark, sf_dir):
     t = T.tokens(docs(spark, sf_dir).withColumn("text", F.lower("text")), ft.word_and_mark_tokens)
-    return keyterms.candidate_runs(t).groupBy("candidate").agg(F.count("*").alias("n"), F.max("length").alias("length")).where("n >= 3")
+    return keyterms.candidate_runs(t).groupBy("candidate").agg(F.count("*").alias("n"), F.max("length").alias("length"))
 
 
 @query(
@@ -358,17 +363,17 @@ def yake_features(spark, sf_dir):
 
 @query()
 def textrank_terms(spark, sf_dir):
-    return keyterms.keyterms(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"), "textrank")
+    return keyterms.keyterms(docs(spark, sf_dir), "textrank")
 
 
 @query()
 def sgrank_terms(spark, sf_dir):
-    return keyterms.keyterms(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"), "sgrank")
+    return keyterms.keyterms(docs(spark, sf_dir), "sgrank")
 
 
 @query()
 def scake_terms(spark, sf_dir):
-    return keyterms.keyterms(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"), "scake")
+    return keyterms.keyterms(docs(spark, sf_dir), "scake")
 
 
 @query()
@@ -441,7 +446,7 @@ def topic_termite(spark, sf_dir):
 
 @query("SELECT doc_id, md5(regexp_replace(lower(text), '\\p{P}', '', 'g')) AS h FROM documents")
 def stream_scrub(spark, sf_dir):
-    folder = tempfile.mkdtemp(prefix="textmill-stream-")
+    folder = shared_path(spark, "stream")
     # The table is one file or a folder of files; a stream reads folders, so a glob names it.
     source = spark.readStream.schema("doc_id long, text string").option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parq[u]et")
     streaming.run_once(streaming.scrubbed(source, ["lower_case", "punctuation"]), f"{folder}/out", f"{folder}/state")

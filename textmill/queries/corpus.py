@@ -24,7 +24,7 @@ _STATS = f"WITH {TOKENS}, c AS (SELECT doc_id, token, count(*) AS n FROM t GROUP
 
 @query(f"{_STATS} SELECT * FROM s")
 def doc_stats(spark, sf_dir):
-    return S.doc_stats(toks(spark, sf_dir))
+    return S.doc_stats_of(docs(spark, sf_dir))
 
 
 @query("SELECT lang, source, count(*)::BIGINT AS docs, sum(length(text))::BIGINT AS chars FROM documents GROUP BY ALL")
@@ -130,9 +130,9 @@ def text_search_or(spark, sf_dir):
     return C.search(C.inverted_index(docs(spark, sf_dir)), "license OR lizenz")
 
 
-@query(f"{_INDEX} SELECT term, count(*)::BIGINT AS df FROM ix GROUP BY term HAVING count(*) >= 5")
+@query(f"{_INDEX} SELECT term, count(*)::BIGINT AS df FROM ix GROUP BY term")
 def inverted_index_df(spark, sf_dir):
-    return C.inverted_index(docs(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("df")).where("df >= 5")
+    return C.inverted_index(docs(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("df"))
 
 
 @query("SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
@@ -163,22 +163,22 @@ def fingerprint(spark, sf_dir):
 
 @query(f"{_STATS} SELECT round(avg(total_tokens), 6) AS mean, round(stddev_samp(total_tokens), 6) AS standard_deviation FROM s")
 def corpus_mean_spread(spark, sf_dir):
-    return S.mean_and_spread(S.doc_stats(toks(spark, sf_dir))).select(F.round("mean", 6).alias("mean"), F.round("standard_deviation", 6).alias("standard_deviation"))
+    return S.mean_and_spread(S.doc_stats_of(docs(spark, sf_dir))).select(F.round("mean", 6).alias("mean"), F.round("standard_deviation", 6).alias("standard_deviation"))
 
 
 @query(f"{_STATS}, q AS (SELECT quantile_cont(total_tokens, 0.25) AS q1, quantile_cont(total_tokens, 0.75) AS q3 FROM s) SELECT q1::DOUBLE AS q1, q3::DOUBLE AS q3, (q3 - q1)::DOUBLE AS iqr, (q1 - 1.5 * (q3 - q1))::DOUBLE AS lower_bound, (q3 + 1.5 * (q3 - q1))::DOUBLE AS upper_bound FROM q")
 def iqr_bounds(spark, sf_dir):
-    return S.quartiles(S.doc_stats(toks(spark, sf_dir)))
+    return S.quartiles(S.doc_stats_of(docs(spark, sf_dir)))
 
 
 @query(f"{_STATS}, q AS (SELECT quantile_cont(total_tokens, 0.25) AS q1, quantile_cont(total_tokens, 0.75) AS q3 FROM s) SELECT doc_id, total_tokens FROM s, q WHERE total_tokens < q1 - 1.5 * (q3 - q1) OR total_tokens > q3 + 1.5 * (q3 - q1)")
 def iqr_outliers(spark, sf_dir):
-    return S.iqr_outliers(S.doc_stats(toks(spark, sf_dir)).select("doc_id", "total_tokens"))
+    return S.iqr_outliers(S.doc_stats_of(docs(spark, sf_dir)).select("doc_id", "total_tokens"))
 
 
 @query(f"{_STATS}, q AS (SELECT avg(total_tokens) AS m, stddev_pop(total_tokens) AS sd FROM s) SELECT doc_id, total_tokens FROM s, q WHERE abs(total_tokens - m) > 2 * sd")
 def std_outliers(spark, sf_dir):
-    return S.std_outliers(S.doc_stats(toks(spark, sf_dir)).select("doc_id", "total_tokens"))
+    return S.std_outliers(S.doc_stats_of(docs(spark, sf_dir)).select("doc_id", "total_tokens"))
 
 
 @query(
@@ -186,13 +186,13 @@ def std_outliers(spark, sf_dir):
     "SELECT round(m3 / m2 ^ 1.5, 6) AS skewness, round(m4 / m2 ^ 2 - 3, 6) AS kurtosis, (SELECT round(stddev_samp(total_tokens) / avg(total_tokens), 6) FROM s) AS coefficient_of_variation FROM d"
 )
 def distribution_stats(spark, sf_dir):
-    d = S.distribution(S.doc_stats(toks(spark, sf_dir)))
+    d = S.distribution(S.doc_stats_of(docs(spark, sf_dir)))
     return d.select(*[F.round(c, 6).alias(c) for c in d.columns])
 
 
 @query(f"{_STATS} SELECT " + ", ".join(f"quantile_cont(total_tokens, {p / 100})::DOUBLE AS percentile_{p}" for p in (5, 10, 25, 50, 75, 90, 95)) + ", min(total_tokens) AS min, max(total_tokens) AS max, max(total_tokens) - min(total_tokens) AS range FROM s")
 def percentiles(spark, sf_dir):
-    return S.percentiles(S.doc_stats(toks(spark, sf_dir)))
+    return S.percentiles(S.doc_stats_of(docs(spark, sf_dir)))
 
 
 @query(
@@ -200,7 +200,7 @@ def percentiles(spark, sf_dir):
     "round(sum(hapax_legomena) / sum(total_terms), 6) AS hapax_ratio, round(sum(hapax_dislegomena) / sum(total_terms), 6) AS dislegomena_ratio FROM r"
 )
 def diversity(spark, sf_dir):
-    d = S.diversity(S.doc_stats(toks(spark, sf_dir)))
+    d = S.diversity(S.doc_stats_of(docs(spark, sf_dir)))
     return d.select(*[F.round(c, 6).alias(c) for c in d.columns])
 
 
@@ -210,7 +210,7 @@ def diversity(spark, sf_dir):
     + " FROM r"
 )
 def advanced_diversity(spark, sf_dir):
-    d = S.advanced_diversity(S.doc_stats(toks(spark, sf_dir)))
+    d = S.advanced_diversity(S.doc_stats_of(docs(spark, sf_dir)))
     return d.select(*[F.round(c, 6).alias(c) for c in d.columns])
 
 
@@ -219,7 +219,7 @@ def advanced_diversity(spark, sf_dir):
     "c AS (SELECT doc_id, greatest(0, least(pos, n - size) - greatest(0, pos - size + 1, coalesce(last + 1, 0)) + 1) AS new, n, size FROM p JOIN n USING (doc_id)) SELECT doc_id, round(sum(new) / any_value(size) / (any_value(n) - any_value(size) + 1), 6) AS mattr FROM c GROUP BY doc_id"
 )
 def mattr(spark, sf_dir):
-    return S.mattr(toks(spark, sf_dir)).select("doc_id", F.round("mattr", 6).alias("mattr"))
+    return S.mattr_of(docs(spark, sf_dir)).select("doc_id", F.round("mattr", 6).alias("mattr"))
 
 
 @query(
@@ -239,7 +239,7 @@ def zipf_fit(spark, sf_dir):
 )
 def quality_metrics(spark, sf_dir):
     t = toks(spark, sf_dir)
-    q = S.quality(S.doc_stats(t), T.term_counts(t))
+    q = S.quality(S.doc_stats_of(docs(spark, sf_dir)), T.term_counts(t))
     return q.withColumns({c: F.round(c, 6) for c in ("length_cv", "density_cv", "richness", "hapax_share")})
 
 
@@ -248,7 +248,7 @@ _GROUPS = f"{_STATS}, g AS (SELECT total_tokens AS x, quality AS g FROM s JOIN l
 
 def grouped(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("g"))
-    return S.doc_stats(toks(spark, sf_dir)).join(labels, "doc_id").select(F.col("total_tokens").alias("x"), "g")
+    return S.doc_stats_of(docs(spark, sf_dir)).join(labels, "doc_id").select(F.col("total_tokens").alias("x"), "g")
 
 
 @query(
@@ -279,7 +279,7 @@ def mwu_statistic(spark, sf_dir):
 
 @query()
 def bootstrap_interval(spark, sf_dir):
-    return S.bootstrap_interval(S.doc_stats(toks(spark, sf_dir)), rounds=100)
+    return S.bootstrap_interval(S.doc_stats_of(docs(spark, sf_dir)), rounds=100)
 
 
 @query(

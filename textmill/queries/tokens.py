@@ -66,9 +66,9 @@ def _grams(n: int) -> str:
     return f"WITH {TOKENS}, g AS (SELECT doc_id, lower(token){nxt} AS ngram FROM t)"
 
 
-@query(_grams(2) + " SELECT ngram, count(*)::BIGINT AS n FROM g WHERE ngram IS NOT NULL GROUP BY ngram HAVING count(*) >= 3")
+@query(_grams(2) + " SELECT ngram, count(*)::BIGINT AS n FROM g WHERE ngram IS NOT NULL GROUP BY ngram")
 def ngrams_bigram_counts(spark, sf_dir):
-    return T.ngrams(docs(spark, sf_dir), 2).groupBy("ngram").agg(F.count("*").alias("n")).where("n >= 3")
+    return T.ngrams(docs(spark, sf_dir), 2).groupBy("ngram").agg(F.count("*").alias("n"))
 
 
 @query(_grams(3) + ", c AS (SELECT ngram FROM g WHERE ngram IS NOT NULL GROUP BY ngram HAVING count(*) >= 4) SELECT doc_id, count(*)::BIGINT AS n FROM g JOIN c USING (ngram) GROUP BY doc_id")
@@ -78,11 +78,11 @@ def ngrams_trigram_minfreq(spark, sf_dir):
 
 @query(
     f"WITH {TOKENS}, f AS (SELECT doc_id, pos, lower(token) AS w FROM t WHERE lower(token) NOT IN ({_STOPS}) AND regexp_matches(lower(token), '^[\\p{{L}}\\p{{N}}_]') AND NOT regexp_matches(lower(token), '^\\p{{N}}')), g AS (SELECT w || ' ' || lead(w) OVER (PARTITION BY doc_id ORDER BY pos) AS ngram FROM f) "
-    "SELECT ngram, count(*)::BIGINT AS n FROM g WHERE ngram IS NOT NULL GROUP BY ngram HAVING count(*) >= 2"
+    "SELECT ngram, count(*)::BIGINT AS n FROM g WHERE ngram IS NOT NULL GROUP BY ngram"
 )
 def ngrams_filtered(spark, sf_dir):
     g = T.ngrams(docs(spark, sf_dir), 2, stops=ft.STOPWORDS, filter_digits=True)
-    return g.groupBy("ngram").agg(F.count("*").alias("n")).where("n >= 2")
+    return g.groupBy("ngram").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_WORDS}, x AS (SELECT doc_id, unnest(w) AS token FROM wd) SELECT token, count(*)::BIGINT AS n FROM x WHERE token <> '' AND regexp_matches(token, '^M*(?:C[MD]|D?C{{0,3}})(?:X[CL]|L?X{{0,3}})(?:I[XV]|V?I{{0,3}})$') GROUP BY token")
@@ -244,7 +244,7 @@ def _rolling(n: int) -> str:
 
 
 def counted(spark, sf_dir):
-    return windows.token_counts(toks(spark, sf_dir), ["the", "of"], 50)
+    return windows.text_counts(docs(spark, sf_dir), ["the", "of"], 50)
 
 
 @query(_rolling(50) + " SELECT doc_id, count(*)::BIGINT AS windows, sum(a)::BIGINT AS the, max(b)::BIGINT AS most_of FROM f GROUP BY doc_id")
@@ -264,13 +264,13 @@ def rolling_ratios(spark, sf_dir):
     return r.groupBy("doc_id").agg(F.round(F.avg("`the:of`"), 6).alias("ratio"))
 
 
-@query("WITH i AS (SELECT item_id, lower(text) AS s, unnest(range(1, length(text) - 18)) AS p FROM benchmark WHERE length(text) >= 20), w AS (SELECT item_id, substr(s, p, 20) AS w FROM i) SELECT item_id AS doc_id, count(*)::BIGINT AS windows, sum((20 - length(replace(w, 'th', ''))) / 2)::BIGINT AS n FROM w GROUP BY item_id")
+@query("WITH i AS (SELECT doc_id, lower(text) AS s, unnest(range(1, length(text) - 18)) AS p FROM documents WHERE length(text) >= 20), w AS (SELECT doc_id, substr(s, p, 20) AS w FROM i) SELECT doc_id, count(*)::BIGINT AS windows, sum((20 - length(replace(w, 'th', ''))) / 2)::BIGINT AS n FROM w GROUP BY doc_id")
 def char_windows(spark, sf_dir):
-    c = windows.char_counts(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"), "th", 20)
+    c = windows.char_counts(docs(spark, sf_dir), "th", 20)
     return c.groupBy("doc_id").agg(F.count("*").alias("windows"), F.sum("n").alias("n"))
 
 
-@query("WITH x AS (SELECT item_id AS doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM benchmark), s AS (SELECT doc_id, w, unnest(range(greatest(len(w) - 3, 0))) AS start FROM x) SELECT doc_id, start::INTEGER AS start, array_to_string(w[start + 1:start + 4], ' ') AS win FROM s")
+@query(f"WITH {TOKENS}, s AS (SELECT doc_id, w, unnest(range(greatest(len(w) - 3, 0))) AS start FROM tok), v AS (SELECT doc_id, start, array_to_string(w[start + 1:start + 4], ' ') AS win FROM s) SELECT doc_id, count(*)::BIGINT AS windows, sum(start * length(win))::BIGINT AS placed, max(win) AS most FROM v GROUP BY doc_id")
 def token_windows(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id")
-    return windows.token_windows(T.tokens(b), 4).select("doc_id", "start", F.array_join("window", " ").alias("win"))
+    w = windows.text_token_windows(docs(spark, sf_dir), 4).select("doc_id", "start", F.array_join("window", " ").alias("win"))
+    return w.groupBy("doc_id").agg(F.count("*").alias("windows"), F.sum(F.col("start") * F.length("win")).cast("long").alias("placed"), F.max("win").alias("most"))
