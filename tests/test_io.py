@@ -87,3 +87,34 @@ def test_streams(spark, tmp_path):
     q = streaming.running_term_counts(streaming.text_files(spark, str(src))).writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select sum(n) from counts").first()[0] == 3
+
+
+def test_encodings():
+    texts = {
+        "utf-8": "Grüße aus Köln — ça va? 日本語", "utf-16": "plain text é", "cp1252": "Déjà vu: les élèves “français” déjeunent là-bas, où ça coûte 3 €.", "cp1251": "Съешь же ещё этих мягких французских булок, да выпей чаю",
+        "koi8_r": "Съешь же ещё этих мягких французских булок, да выпей чаю", "shift_jis": "これは日本語のテキストです。漢字とかなを含みます。", "euc_jp": "これは日本語のテキストです。漢字とかなを含みます。", "euc_kr": "안녕하세요. 이것은 한국어로 쓴 짧은 글입니다.",
+        "gb18030": "这是一个用中文写的句子，没有别的意思。我们今天去学校学习新的知识。",
+    }
+    for name, text in texts.items():
+        assert readers.decode(text.encode(name)) == text, (name, readers.encoding_of(text.encode(name)))
+    assert readers.decode(b"plain\r\nascii\r") == "plain\nascii\n" and readers.decode(b"") == ""
+    assert readers.encoding_of(b"caf\xe9") == "cp1252"
+
+
+def test_topic_browser_tables(spark, tmp_path):
+    tt = spark.createDataFrame([(t, w, float(n)) for t, ws in enumerate(("ab", "bc", "de")) for n, w in enumerate(ws, 1)], "topic int, term string, w double")
+    dt = spark.createDataFrame([(d, t, [0.5, 0.5, 0.0][(d + t) % 3]) for d in (7, 3) for t in range(3)], "doc_id long, topic int, p double")
+    counts = spark.createDataFrame([(7, 0, 4), (3, 2, 9)], "doc_id long, topic int, n long")
+    (tmp_path / "metadata.csv").write_text("mine")
+    sinks.topic_browser_files(dt, tt, str(tmp_path), counts=counts)
+    assert (tmp_path / "doc-topic-counts.csv").read_text() == "docNum,topic0,topic1,topic2\n0,0,0,9\n1,4,0,0\n"
+    assert (tmp_path / "doc-topic.txt").read_text().splitlines()[0] == "0\tdoc1\t0.5000000000\t0.5000000000\t0.0000000000"
+    assert (tmp_path / "metadata.csv").read_text() == "mine"
+    lines = (tmp_path / "topic_coords.csv").read_text().splitlines()
+    assert lines[0] == "topic,x,y" and len(lines) == 4
+
+
+def test_labelled_lines_are_numbered_within_their_file(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("one\nl\ttwo\nid9\tl\tthree\n")
+    (tmp_path / "b.tsv").write_text("")
+    assert sorted(tuple(r) for r in readers.read_labelled(spark, str(tmp_path)).collect()) == [("0", "no_label", "one"), ("1", "l", "two"), ("id9", "l", "three")]

@@ -115,7 +115,10 @@ def zipf(counts: DataFrame) -> DataFrame:
     by_n = counts.groupBy("n").agg(F.count("*").alias("m"))
     upto = F.sum("m").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
     blocks = by_n.withColumn("before", F.coalesce(upto, F.lit(0)))
-    points = blocks.select(F.log10("n").alias("y"), F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("m"))).alias("rank")).select("y", F.log10("rank").alias("x"))
+    # The block of terms that occur once has half of all ranks: blocks are cut before they are spread out.
+    part, last = 100_000, F.col("before") + F.col("m")
+    cut = blocks.select("n", "before", "m", F.explode(F.sequence(F.col("before") + 1, last, F.lit(part))).alias("a")).withColumn("b", F.least(F.col("a") + part - 1, last)).repartition("a")
+    points = cut.select(F.log10("n").alias("y"), F.explode(F.sequence("a", "b")).alias("rank")).select("y", F.log10("rank").alias("x"))
     return points.agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r_squared"), F.count("*").alias("num_terms"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.functions import tokens as ft
@@ -92,10 +92,11 @@ def delta(values: DataFrame, queries: DataFrame, *, kind: str = "classic") -> Da
 
 def scale(feats: DataFrame, by: str, value: str, kind: str = "z") -> DataFrame:
     """Values of each row or column (``by``) as z-scores or between 0 and 1."""
-    w = Window.partitionBy(by)
-    x = F.col(value)
+    # Partial sums and a join with one row for each group, so that no group has to fit into a task.
+    about = feats.groupBy(F.col(by).alias("__by")).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"), F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    joined, x = feats.join(about, F.col(by).eqNullSafe(F.col("__by"))), F.col(value)
     if kind == "z":
-        s = F.stddev_pop(value).over(w)
-        return feats.withColumn(value, F.when(s == 0, 0.0).otherwise((x - F.avg(value).over(w)) / s))
-    lo, hi = F.min(value).over(w), F.max(value).over(w)
-    return feats.withColumn(value, F.when(hi == lo, 0.0).otherwise((x - lo) / (hi - lo)))
+        scaled = F.when(F.col("__s") == 0, 0.0).otherwise((x - F.col("__m")) / F.col("__s"))
+    else:
+        scaled = F.when(F.col("__hi") == F.col("__lo"), 0.0).otherwise((x - F.col("__lo")) / (F.col("__hi") - F.col("__lo")))
+    return joined.withColumn(value, scaled).select(*[F.col(f"`{c}`") for c in feats.columns])

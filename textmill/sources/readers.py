@@ -38,15 +38,59 @@ def mime_type(path: str, start: bytes) -> str | None:
     return None if b"\x00" in start[:1024] else "text/plain"
 
 
-def decode(raw: bytes) -> str:
-    """UTF-8, or by mark UTF-16, or else Windows Latin; line breaks become ``\\n``."""
+#: Single-byte encodings by the letters that texts in them are made of, beside ASCII.
+_LETTERS = {"cp1252": "àâäáãåæçéèêëíìîïñóòôöõøœúùûüýÿßÀÂÄÁÃÅÆÇÉÈÊËÍÌÎÏÑÓÒÔÖÕØŒÚÙÛÜÝ«»‹›“”‘’„‚–—…€£§°·¡¿©®", "cp1251": "абвгдежзийклмнопрстуфхцчшщъыьэюяё«»–—“”„№", "koi8_r": "абвгдежзийклмнопрстуфхцчшщъыьэюяё", "iso8859_2": "ąćęłńóśźżáčďéěíňřšťúůýžőűäöüăâîșț", "iso8859_7": "αβγδεζηθικλμνξοπρστυφχψωςάέήίόύώ"}
+#: Encodings of several bytes by the ranges of their common characters.
+_RANGES = {"shift_jis": "\u3000-\u30ff\u4e00-\u9fff", "euc_jp": "\u3000-\u30ff\u4e00-\u9fff", "gb18030": "\u3000-\u3011\u4e00-\u9fff\uff01-\uff1f", "big5": "\u3000-\u3011\u4e00-\u9fff\uff01-\uff1f", "euc_kr": "\uac00-\ud7a3\u3000-\u3011"}
+#: Bytes that are looked at.
+_SNIFFED = 1 << 16
+
+
+def encoding_of(raw: bytes) -> str:
+    """Name of the encoding: by its mark, UTF-8 if it is that, else the one whose usual characters cover most of what is not ASCII.
+
+    A character of several bytes counts for each of them, so that the longer
+    explanation of the same bytes wins; Windows Latin wins ties.
+    """
     if raw.startswith((b"\xff\xfe", b"\xfe\xff")):
-        text = raw.decode("utf-16", "replace")
-    else:
+        return "utf-16"
+    try:
+        raw.decode("utf-8")
+        return "utf-8-sig"
+    except UnicodeDecodeError:
+        pass
+    some = raw[:_SNIFFED]
+    strange = sum(b >= 128 for b in some)
+    best, name = 0.0, "cp1252"
+    for code, letters in _LETTERS.items():
+        # Where letters stand alone between ASCII ones, as in Latin scripts, whole words in capitals don't.
+        usual = set(letters)
+        score = sum(c in usual for c in some.decode(code, "replace") if c > "\x7f") / max(strange, 1)
+        if score > best:
+            best, name = score, code
+    for code, ranges in _RANGES.items():
         try:
-            text = raw.decode("utf-8-sig")
+            text = some[: len(some) - len(some) % 2].decode(code, "strict" if len(some) < _SNIFFED else "ignore")
         except UnicodeDecodeError:
-            text = raw.decode("cp1252", "replace")
+            continue
+        found = re.findall(f"[{ranges}]", text)
+        kana = sum("\u3040" <= c <= "\u30ff" for c in found)
+        # Japanese has syllables between its characters; without any it is rather Chinese.
+        if code in ("shift_jis", "euc_jp") and 10 * kana < len(found):
+            continue
+        odd = sum(c > "\x7f" for c in text) - len(found)
+        score = (len(found) - odd) / max(len(found) + odd, 1) * 1.05
+        # Other scripts' bytes make Chinese characters too, but hardly the commonest ones.
+        if code in ("gb18030", "big5") and not set("的一是在不了有和人這这").intersection(found):
+            score *= 0.9
+        if found and score > best:
+            best, name = score, code
+    return name
+
+
+def decode(raw: bytes) -> str:
+    """Text in the encoding that ``encoding_of`` finds; line breaks become ``\\n``."""
+    text = raw.decode(encoding_of(raw), "replace")
     return text.replace("\r\n", "\n").replace("\r", "\n")
 
 
@@ -138,9 +182,15 @@ def read_parquet(spark: SparkSession, path: str, *, name_col: str = "name", text
     return _checked(spark.read.parquet(path), name_col, text_col)
 
 
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, i, text: the lines of each file, numbered from 0 whatever splits a scan has."""
+    whole = spark.read.text(path, wholetext=True).where("value <> ''")
+    return whole.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("i", "text"))
+
+
 def read_lines(spark: SparkSession, path: str, *, start: int = 1, pad: int = 3) -> DataFrame:
     """A document for each line of a file, named text001 and so on in the order of lines."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("i", "text"))
+    lines = _numbered_lines(spark, path)
     return lines.select(F.concat(F.lit("text"), F.lpad((F.col("i") + start).cast("string"), pad, "0")).alias("name"), "path", F.lit("text/plain").alias("mime_type"), "text")
 
 
@@ -154,11 +204,11 @@ def from_texts(spark: SparkSession, texts: Iterable[str], names: Iterable[str] |
 
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     """id, label, text of a tab-separated file with one to three columns or more; what is over belongs to the text."""
-    parts = F.split("value", "\t")
+    parts = F.split("text", "\t")
     n = F.size(parts)
-    row = F.monotonically_increasing_id()
-    return spark.read.text(path).select(
-        F.when(n >= 3, parts[0]).otherwise(row.cast("string")).alias("id"),
+    # Lines are numbered within their file, whatever splits a scan has.
+    return _numbered_lines(spark, path).select(
+        F.when(n >= 3, parts[0]).otherwise(F.col("i").cast("string")).alias("id"),
         F.when(n >= 3, parts[1]).when(n == 2, parts[0]).otherwise("no_label").alias("label"),
         F.when(n >= 3, F.array_join(F.slice(parts, 3, F.greatest(n - 2, F.lit(1))), " ")).when(n == 2, parts[1]).otherwise(parts[0]).alias("text"),
     )

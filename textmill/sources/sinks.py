@@ -7,10 +7,12 @@ import html
 import json
 import sqlite3
 import zipfile
-from collections.abc import Iterable
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a single-file format takes; larger tables are written by Spark.
@@ -65,11 +67,11 @@ def chunk_files(chunks: DataFrame, folder: str, *, name_col: str = "name", text_
     chunks.select(name_col, text).foreachPartition(write)
 
 
-def _bounded(df: DataFrame) -> list:
-    rows = df.limit(MOST_SINGLE_FILE + 1).collect()
-    if len(rows) > MOST_SINGLE_FILE:
+def _bounded(df: DataFrame) -> Iterator[Row]:
+    """The rows one after another, a partition at a time, if they are few enough for one file."""
+    if df.limit(MOST_SINGLE_FILE + 1).count() > MOST_SINGLE_FILE:
         raise ValueError("too many rows for one file; write Parquet, CSV or JSON")
-    return rows
+    return df.toLocalIterator()
 
 
 def to_sqlite(records: DataFrame, path: str, table: str = "records") -> None:
@@ -79,7 +81,7 @@ def to_sqlite(records: DataFrame, path: str, table: str = "records") -> None:
     with sqlite3.connect(path) as db:
         db.execute(f'DROP TABLE IF EXISTS "{table}"')
         db.execute(f'CREATE TABLE "{table}" ({", ".join(f"{chr(34)}{c}{chr(34)} {kinds.get(t, "TEXT")}" for c, t in records.dtypes)})')
-        db.executemany(f'INSERT INTO "{table}" VALUES ({", ".join("?" * len(names))})', [tuple(r) for r in _bounded(records)])
+        db.executemany(f'INSERT INTO "{table}" VALUES ({", ".join("?" * len(names))})', map(tuple, _bounded(records)))
         if "text" in names:
             db.execute(f'DROP TABLE IF EXISTS "{table}_fts"')
             db.execute(f'CREATE VIRTUAL TABLE "{table}_fts" USING fts5(text)')
@@ -91,12 +93,17 @@ def search_sqlite(path: str, query: str, *, table: str = "records", limit: int =
         return db.execute(f'SELECT * FROM "{table}" WHERE rowid IN (SELECT rowid FROM "{table}_fts" WHERE "{table}_fts" MATCH ?) LIMIT ?', (query, limit)).fetchall()
 
 
-def topic_browser_files(doc_topic: DataFrame, topic_term: DataFrame, folder: str, *, words: int = 50) -> None:
-    """tw.json, dt.json.zip and keys of a topic model, for a browser of topics."""
+def topic_browser_files(doc_topic: DataFrame, topic_term: DataFrame, folder: str, *, words: int = 50, counts: DataFrame | None = None) -> None:
+    """Files of a topic model for a browser of topics.
+
+    tw.json and topic-keys.txt: words and weights; topic_coords.csv: topics in a plane
+    by their divergences; dt.json.zip, doc-topic.txt and, with ``counts`` (doc_id, topic,
+    n), doc-topic-counts.csv: documents; metadata.csv, unless it is there.
+    """
     to = Path(folder)
     to.mkdir(parents=True, exist_ok=True)
     tops: dict[int, list] = {}
-    from textmill.operators.topics import term_probabilities
+    from textmill.operators.topics import divergences, rank_weights, scale_distances, term_probabilities
 
     for r in term_probabilities(topic_term, words).orderBy("topic", "rank").collect():
         tops.setdefault(r.topic, []).append((r.term, r.p))
@@ -104,7 +111,24 @@ def topic_browser_files(doc_topic: DataFrame, topic_term: DataFrame, folder: str
     (to / "tw.json").write_text(json.dumps({"alpha": [1.0] * k, "tw": [{"words": [w for w, _ in tops.get(t, [])], "weights": [p for _, p in tops.get(t, [])]} for t in range(k)]}), encoding="utf-8")
     (to / "topic-keys.txt").write_text("".join(f"{t}\t1.0\t{' '.join(w for w, _ in tops.get(t, [])[:15])}\n" for t in range(k)), encoding="utf-8")
     cells = sorted((r.topic, r.doc_id, r.p) for r in _bounded(doc_topic.where("p > 0").select("topic", "doc_id", "p")))
-    starts = [sum(c[0] < t for c in cells) for t in range(k + 1)]
+    starts = [bisect_left(cells, (t,)) for t in range(k + 1)]
+    far = np.zeros((k, k))
+    for r in divergences(rank_weights(topic_term)).collect():
+        far[r.a, r.b] = far[r.b, r.a] = r.jsd
+    places = scale_distances(far) if k > 1 else np.zeros((k, 2))
+    (to / "topic_coords.csv").write_text("topic,x,y\n" + "".join(f"{t},{x},{y}\n" for t, (x, y) in enumerate(np.pad(places, ((0, 0), (0, 2 - places.shape[1]))))), encoding="utf-8")
+    shares: dict[int, list[float]] = {}
+    for t, d, p in cells:
+        shares.setdefault(d, [0.0] * k)[t] = p
+    ids = sorted(shares)
+    (to / "doc-topic.txt").write_text("".join(f"{i}\tdoc{i + 1}\t" + "\t".join(f"{p:.10f}" for p in shares[d]) + "\n" for i, d in enumerate(ids)), encoding="utf-8")
+    if counts is not None:
+        number, table = {d: i for i, d in enumerate(ids)}, [[0] * k for _ in ids]
+        for r in _bounded(counts.select("doc_id", "topic", "n")):
+            table[number[r.doc_id]][r.topic] = r.n
+        (to / "doc-topic-counts.csv").write_text(",".join(["docNum", *(f"topic{t}" for t in range(k))]) + "\n" + "".join(f"{i},{','.join(map(str, row))}\n" for i, row in enumerate(table)), encoding="utf-8")
+    if not (to / "metadata.csv").exists():
+        (to / "metadata.csv").write_text("docNum,docName,title\n" + "".join(f"{i},doc{i + 1},{d}\n" for i, d in enumerate(ids)), encoding="utf-8")
     with zipfile.ZipFile(to / "dt.json.zip", "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("dt.json", json.dumps({"i": [c[1] for c in cells], "p": starts, "x": [c[2] for c in cells]}))
 
