@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
 import os
 from collections.abc import Callable
 
@@ -12,8 +11,21 @@ from pyspark.sql import functions as F
 from textmill.llm import bpe_count, byte_cnn, decontam, divergence, mixing, neardup, spans, token_files, toxicity, url_rules
 from textmill.llm._common import shared_path, table
 
-#: The folder of tokenizer files; every executor has it at the same place.
-TOKENIZERS = os.environ.get("TEXTMILL_TOKENIZERS") or os.path.dirname((importlib.util.find_spec("public_tokenizers") or importlib.util.spec_from_loader("none", None)).origin or "/opt/tokenizers/none")
+
+
+def tokenizer(name: str) -> str:
+    """Where a tokenizer file is: in the folder TEXTMILL_TOKENIZERS if that is set, else where the ``public_tokenizers`` package has it.
+
+    Every executor has it at the same place.
+    """
+    if folder := os.environ.get("TEXTMILL_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+TOKENIZERS = os.path.dirname(tokenizer("word_bpe_49k.json"))
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -36,7 +48,7 @@ FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "tokens")
-    token_files.write_token_files(table(spark, sf_dir, "documents"), folder, f"{TOKENIZERS}/word_bpe_49k.json", end_id=2)
+    token_files.write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer("word_bpe_49k.json"), end_id=2)
     return token_files.read_token_files(spark, folder)
 
 
@@ -74,7 +86,7 @@ def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_count.count_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", limit=512)
+    return bpe_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=512)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from textmill.llm._common import byte_symbols, local_path, shuffle_partitions, slices, text_of
 
 NULL_ID = np.iinfo(np.int64).min
+#: Bytes of text for each shard, on average.
+SHARD_BYTES = 256 << 20
 #: Pieces and words that a worker remembers; beyond it the memory starts afresh.
 REMEMBERED = 700_000
 MANIFEST = "shard int, n_docs long, n_tokens long, width int"
@@ -168,8 +170,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, end_id: i
     One range shuffle orders the texts by id; each task then streams its range
     through the tokenizer into one shard, holding about a megabyte at a time.  A
     task writes under a name of its own and renames when done, so a retried or
-    doubled attempt leaves the same files.  ``shards`` defaults to the session's
-    shuffle partitions.  ``folder`` must be mounted on every executor.
+    doubled attempt leaves the same files.  ``shards`` follows from the texts' bytes,
+    ``SHARD_BYTES`` each, and is at least the session's shuffle partitions.  ``folder``
+    must be mounted on every executor.
     """
     spark, to = docs.sparkSession, _posix(folder)
     os.makedirs(to, exist_ok=True)
@@ -200,7 +203,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, end_id: i
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n], pa.int64()), pa.array([at], pa.int64()), pa.array([kind.itemsize], pa.int32())], names=["shard", "n_docs", "n_tokens", "width"])
 
-    ordered = text_of(docs, id_col, text_col).repartitionByRange(shards or shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    own = text_of(docs, id_col, text_col)
+    if shards is None:
+        size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(shuffle_partitions(spark), -(-size // SHARD_BYTES))
+    ordered = own.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(write, MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest.parquet")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest.parquet")
 
@@ -234,4 +241,4 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                         [pa.array(own, mask=own == NULL_ID), pa.array(row["base"] + bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]
                     )
 
-    return based.repartition(shuffle_partitions(spark), "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return based.repartition(max(shuffle_partitions(spark), shards.count()), "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
