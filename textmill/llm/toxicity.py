@@ -7,10 +7,10 @@ earlier one says of texts that it has not seen.  Models are fitted with an L1
 penalty by accelerated proximal gradient steps, on words chosen within the
 training rows alone.
 
-Categories come as columns of labels.  Where there is one label only, seed words
-split its rows into weak categories (``SEEDS``): a row that is labelled toxic and
-holds a seed word of the category belongs to it.  The last link of the chain is
-the label itself, and gives the verdict.
+Categories come as columns of labels, in any language and number.  Where there is one
+label only, its own rows are clustered by the words that go with it, and the clusters
+are the categories (``KINDS``); no list of words is built in.  The last link of the
+chain is the label itself, and gives the verdict.
 
 Defined results: null and empty texts hold no words, and get the probability of
 such a text; repeated rows each give a row; without labels of both kinds all
@@ -36,10 +36,8 @@ from textmill.llm._sample import labelled_texts
 SAMPLE = 6000
 #: Words in each model, at most.
 WORDS = 160
-SEEDS = {
-    "insult": "idiot idiots moron morons stupid dumb fool fools clown clowns loser losers jerk imbecile dimwit".split(),
-    "contempt": "trash scum worthless pathetic disgusting filth filthy vermin garbage pig pigs disgrace repulsive".split(),
-}
+#: Categories that are made where there is one label only.
+KINDS = 2
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -133,6 +131,13 @@ class _Held:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def chi_squared(row: np.ndarray, col: np.ndarray, y: np.ndarray, n: int, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chi-squared of each feature with a label (-1 if no text has it), and how many labelled texts have it: expected, found."""
+    df, pos, ones = np.bincount(col, minlength=n_words), np.bincount(col, y[row], n_words), y.sum()
+    expected = df * ones / n
+    return np.where(df > 0, (pos - expected) ** 2 / np.maximum(expected * (1 - df / n) * (1 - ones / n), 1e-9), -1), expected, pos
+
+
 def _fit_link(name: str, held: _Held, rows: np.ndarray, labels: np.ndarray, earlier: np.ndarray, most_words: int, penalty: float, steps: int) -> Link:
     n, y = len(rows), labels[rows]
     if not n or y.min() == y.max():
@@ -142,9 +147,7 @@ def _fit_link(name: str, held: _Held, rows: np.ndarray, labels: np.ndarray, earl
     place[rows] = np.arange(n, dtype=np.int32)
     mine = place[held.row] >= 0
     row, col = place[held.row[mine]], held.col[mine]
-    df, pos, ones = np.bincount(col, minlength=len(held.words)), np.bincount(col, y[row], len(held.words)), y.sum()
-    expected = df * ones / n
-    score = np.where(df > 0, (pos - expected) ** 2 / np.maximum(expected * (1 - df / n) * (1 - ones / n), 1e-9), -1)
+    score, _, _ = chi_squared(row, col, y, n, len(held.words))
     chosen = np.argsort(-score, kind="stable")[:most_words]
     # Of features that the same texts hold, such as a word and its beginnings, the longest stands for all.
     best: dict[float, int] = {}
@@ -164,9 +167,10 @@ def _fit_link(name: str, held: _Held, rows: np.ndarray, labels: np.ndarray, earl
     return Link(name, bias, {held.words[i]: float(v) for i, v in zip(chosen.tolist(), weights[: len(chosen)], strict=True) if v}, weights[len(chosen) :].tolist())
 
 
-def fit_chain(texts: list[bytes], labels: pd.DataFrame, *, folds: int = 5, most_words: int = WORDS, penalty: float | None = None, steps: int = 500, seed: int = 3) -> list[Link]:
+def fit_chain(texts: list[bytes] | _Held, labels: pd.DataFrame, *, folds: int = 5, most_words: int = WORDS, penalty: float | None = None, steps: int = 500, seed: int = 3) -> list[Link]:
     """A link for each column of ``labels``, in their order; the penalty is half a row's share of them unless given."""
-    held, n, k = _Held(texts), len(texts), labels.shape[1]
+    held = texts if isinstance(texts, _Held) else _Held(texts)
+    n, k = held.n, labels.shape[1]
     penalty = 0.5 / max(n, 1) if penalty is None else penalty
     fold, every = np.random.default_rng(seed).permutation(n) % folds, np.arange(n)
     out_of_fold = np.zeros((n, k), np.float64)
@@ -191,20 +195,55 @@ def predict_chain(links: list[Link], texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def weak_labels(texts: list[bytes], toxic: np.ndarray, seeds: dict[str, list[str]] = SEEDS) -> pd.DataFrame:
-    """A column for each seeded category and last ``toxic`` itself."""
-    out = {}
-    for name, words in seeds.items():
-        own = {w.encode("utf-8") for w in words}
-        out[name] = [int(bool(y) and bool(word_set(t) & own)) for t, y in zip(texts, toxic, strict=True)]
-    return pd.DataFrame(out | {"toxic": np.asarray(toxic, int)}, index=range(len(texts)))
+def kinds_of_toxic(held: _Held, toxic: np.ndarray, kinds: int = KINDS, *, most_words: int = WORDS, rounds: int = 20) -> np.ndarray:
+    """A category for each toxic text, -1 for the others: clusters by the features that go with the label.
+
+    The features are the ``most_words`` with the highest chi-squared among those that are
+    commoner in toxic texts.  A text is the unit vector of those that it holds; centres
+    start far apart, from the text least like all others, and move to the mean direction
+    of their texts.  Categories are numbered from the largest; texts without any of the
+    features belong to it.
+    """
+    y = np.asarray(toxic, bool)
+    out, rows = np.full(held.n, -1), np.flatnonzero(y)
+    if not len(rows):
+        return out
+    out[rows] = 0
+    score, expected, pos = chi_squared(held.row, held.col, y.astype(float), held.n, len(held.words))
+    chosen = np.argsort(np.where(pos > expected, -score, 0), kind="stable")[:most_words]
+    at = np.full(len(held.words), -1)
+    at[chosen] = np.arange(len(chosen))
+    used = (at[held.col] >= 0) & y[held.row]
+    x = np.zeros((held.n, len(chosen)))
+    x[held.row[used], at[held.col[used]]] = 1
+    rows = rows[x[rows].any(1)]
+    x = x[rows]
+    if len(rows) < kinds:
+        return out
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centres = [x[int(np.argmin(x @ x.mean(0)))]]
+    while len(centres) < kinds:
+        centres.append(x[int(np.argmin((x @ np.array(centres).T).max(1)))])
+    for _ in range(rounds):
+        own = np.argmax(np.round(x @ np.array(centres).T, 12), 1)
+        centres = [m / max(np.linalg.norm(m), 1e-12) for m in (x[own == k].sum(0) for k in range(kinds))]
+    rank = np.empty(kinds, int)
+    rank[np.argsort(-np.bincount(own, minlength=kinds), kind="stable")] = np.arange(kinds)
+    out[rows] = rank[own]
+    return out
+
+
+def category_labels(held: _Held, toxic: np.ndarray, kinds: int = KINDS) -> pd.DataFrame:
+    """A column for each category of toxic texts and last ``toxic`` itself."""
+    kind = kinds_of_toxic(held, toxic, kinds)
+    return pd.DataFrame({f"kind{k + 1}": (kind == k).astype(int) for k in range(kinds)} | {"toxic": np.asarray(toxic, int)}, index=range(held.n))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: int = SAMPLE, among: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> list[Link]:
     """Fit the chain on at most ``sample`` labelled rows."""
     rows = labelled_texts(docs, labels, label, sample, among=among, id_col=id_col, text_col=text_col)
-    texts = [t.encode("utf-8") for t in rows["text"]]
-    return fit_chain(texts, weak_labels(texts, rows["label"].to_numpy() > 0))
+    held = _Held([t.encode("utf-8") for t in rows["text"]])
+    return fit_chain(held, category_labels(held, rows["label"].to_numpy() > 0))
 
 
 def probabilities(links: list[Link]) -> Callable[[str], Column]:
