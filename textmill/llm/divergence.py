@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from textmill.llm._common import materialize, slices
+from textmill.session import ship
 
 #: Character classes: lower, upper, digit, stop and comma, other punctuation, symbol, space, line break.
 CLASSES = 8
@@ -186,6 +187,17 @@ def references(counted: DataFrame) -> DataFrame:
     return every.select("key", F.slice(counts, 1, CLASSES).alias("ref_chars"), F.slice(counts, CLASSES + 1, WORDS).alias("ref_common"))
 
 
+def counted(docs: DataFrame, *, window: int = 8, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """doc_id, key (of the language), the base counts and both histograms of every row, in one pass over the texts."""
+    ship(docs.sparkSession)
+    text, lang = F.col(f"`{text_col}`").cast("string"), F.col(f"`{lang_col}`").cast("string")
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), lang.alias("lang"), F.coalesce(F.concat(F.lit("="), lang), F.lit("")).alias("key"))
+    return own.select("doc_id", "key", _features(window)("text", "lang").alias("f")).select("doc_id", "key", "f.*")
+
+
+NAMES = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_distance", "common_distance")
+
+
 def divergence(
     docs: DataFrame,
     *,
@@ -200,6 +212,8 @@ def divergence(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
+    min_reference_words: int = 1000,
+    given: DataFrame | None = None,
 ) -> DataFrame:
     """Counts, base verdict, verdict and both distances for every row.
 
@@ -208,26 +222,34 @@ def divergence(
     ``refits`` times again over those that the verdict so far keeps, so that junk
     doesn't shape what it is compared with.
 
+    A language whose reference has fewer than ``min_reference_words`` words can't judge
+    its own few texts: their character classes are compared with the sum over all
+    languages, their words with nothing.  ``given`` references (key, ref_chars,
+    ref_common, as ``references`` makes them of other texts) are taken as they are.
+
     The texts are read once; what follows works on counts.  References have one
     row a language, joined by language; the sums are made within partitions
     before any shuffle, so a language that most rows share costs no more.
     """
-    text, lang = F.col(f"`{text_col}`").cast("string"), F.col(f"`{lang_col}`").cast("string")
-    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), lang.alias("lang"), F.coalesce(F.concat(F.lit("="), lang), F.lit("")).alias("key"))
-    counted = own.select("doc_id", "key", _features(window)("text", "lang").alias("f")).select("doc_id", "key", "f.*")
+    found = counted(docs, window=window, id_col=id_col, text_col=text_col, lang_col=lang_col)
     failed = (F.col("n_words") < min_base_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    counted = materialize(counted.withColumn("base_failed", failed), "features")
+    rows = materialize(found.withColumn("base_failed", failed), "features")
     root = F.sqrt(F.greatest(F.col("n_words"), F.lit(1)).cast("double"))
     over = lambda col, limit: F.col(col) > F.lit(float(limit[0])) + F.lit(float(limit[1])) / root
     odd = ((F.col("word_chars") >= min_chars) & over("chars_distance", chars_limit)) | ((F.col("n_words") >= min_words) & over("common_distance", words_limit))
 
     def compared(refs: DataFrame) -> DataFrame:
-        joined = counted.join(refs, "key", "left")
+        size = F.aggregate("ref_common", F.lit(0).cast("long"), lambda n, x: n + x)
+        # Sums of the classes over all languages: one row.
+        pooled = refs.agg(*[F.sum(F.get("ref_chars", F.lit(i))).alias(f"p{i}") for i in range(CLASSES)]).select(F.array(*[f"p{i}" for i in range(CLASSES)]).alias("pooled"))
+        joined = rows.join(refs.withColumn("few", size < min_reference_words), "key", "left").crossJoin(F.broadcast(pooled))
+        joined = joined.withColumns({"ref_chars": F.when(F.col("few"), F.col("pooled")).otherwise(F.col("ref_chars")), "ref_common": F.when(~F.col("few"), F.col("ref_common"))})
         # A language without a reference (all its texts fail the base rules) is at no distance.
         return joined.withColumns({f"{c}_distance": _distance(c, F.coalesce(f"ref_{c}", c)) for c in ("chars", "common")}).withColumn("kept", ~F.col("base_failed") & ~odd)
 
-    refs = materialize(references(counted.where(~F.col("base_failed"))), "references")
+    if given is not None:
+        return compared(given).select(*NAMES)
+    refs = materialize(references(rows.where(~F.col("base_failed"))), "references")
     for _ in range(refits):
         refs = materialize(references(compared(refs).where("kept")), "references")
-    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_distance", "common_distance")
-    return compared(refs).select(*names)
+    return compared(refs).select(*NAMES)
