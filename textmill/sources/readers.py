@@ -10,6 +10,7 @@ import csv
 import gzip
 import io
 import json
+import os
 import re
 import zipfile
 from collections.abc import Iterable, Iterator
@@ -94,6 +95,23 @@ def decode(raw: bytes) -> str:
     return text.replace("\r\n", "\n").replace("\r", "\n")
 
 
+def normalize_files(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """Text files as UTF-8 with ``\\n``, written by the executors under their names into a mounted folder: path, written, encoding."""
+    os.makedirs(folder, exist_ok=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for at, raw in zip(batch["path"], batch["content"], strict=True):
+                to = os.path.join(folder, os.path.basename(at))
+                with open(to, "w", encoding="utf-8", newline="") as f:
+                    f.write(decode(raw))
+                rows.append((at, to, encoding_of(raw)))
+            yield pd.DataFrame(rows, columns=["path", "written", "encoding"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, written string, encoding string")
+
+
 def docx_text(raw: bytes) -> str:
     """Paragraphs of a word-processor document, one per line."""
     space = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"

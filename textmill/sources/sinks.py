@@ -55,6 +55,32 @@ def record_from_bytes(raw: bytes, *, verify: bool = True) -> dict:
     return json.loads(core)
 
 
+def record_to_disk(record: dict, path: str) -> None:
+    Path(path).write_bytes(record_bytes(record))
+
+
+def record_from_disk(path: str, *, verify: bool = True) -> dict:
+    return record_from_bytes(Path(path).read_bytes(), verify=verify)
+
+
+def pack_corpus(folder: str, to: str) -> str:
+    """A saved corpus in a mounted folder as one ZIP file."""
+    with zipfile.ZipFile(to, "w", zipfile.ZIP_STORED) as z:
+        for at in sorted(p for p in Path(folder).rglob("*") if p.is_file()):
+            z.write(at, at.relative_to(folder))
+    return to
+
+
+def unpack_corpus(path: str, folder: str) -> str:
+    """The folder that a packed corpus came from; names that lead out of it are refused."""
+    with zipfile.ZipFile(path) as z:
+        root = Path(folder).resolve()
+        if any(not (root / name).resolve().is_relative_to(root) for name in z.namelist()):
+            raise ValueError("the file has names outside its folder")
+        z.extractall(root)
+    return folder
+
+
 def chunk_files(chunks: DataFrame, folder: str, *, name_col: str = "name", text_col: str = "chunk", strip: bool = True) -> None:
     """One text file for each chunk, written by the executors into a mounted folder."""
     Path(folder).mkdir(parents=True, exist_ok=True)
