@@ -98,6 +98,32 @@ class ByteCNN:
         mean, top = np.add.reduceat(g, begin) / n[:, None], np.maximum.reduceat(g, begin)
         return a, b, begin, n, g, np.concatenate([mean, top], 1)
 
+    def gradients(self, texts: list[bytes], y: np.ndarray, decay: float = 1e-4) -> tuple[dict[str, np.ndarray], float]:
+        """Of the mean log loss and half ``decay`` times the squared output weights: by parameter, and by the output's bias."""
+        flat, starts, counts = _layout(texts)
+        most, where = self.pooled(flat, starts, places=True)
+        a, b, begin, n, g, doc = self._document(most, counts)
+        p = 1 / (1 + np.exp(-np.clip(doc @ self.out + self.out_bias, -30, 30)))
+        dz = ((p - y) / len(texts)).astype(np.float32)
+        grads = {"out": doc.T @ dz + decay * self.out}
+        d_doc = dz[:, None] * self.out
+        text_of_chunk = np.repeat(np.arange(len(texts)), n)
+        dg = d_doc[text_of_chunk, :FILTERS] / n[text_of_chunk, None]
+        # The first chunk with the maximum gets its gradient.
+        top = doc[text_of_chunk, FILTERS:] == g
+        seen = np.cumsum(top, 0)
+        prior = np.concatenate([np.zeros((1, FILTERS), seen.dtype), seen])[begin][text_of_chunk]
+        dg = dg + d_doc[text_of_chunk, FILTERS:] * (top & (seen - prior == 1))
+        ds = dg * (1 - g * g)
+        src = np.where(most[a] >= most[b], where[a], where[b])
+        grads["bias"] = ds.sum(0)
+        gt = np.zeros((WIDTH, 256 * FILTERS), np.float32)
+        col = np.arange(FILTERS)
+        for j in range(WIDTH):
+            gt[j] = np.bincount((flat[src + j].astype(np.int64) * FILTERS + col).ravel(), ds.ravel(), 256 * FILTERS)
+        grads["tables"] = gt.reshape(WIDTH, 256, FILTERS)
+        return grads, float(dz.sum())
+
     def score(self, texts: list[bytes]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
@@ -127,30 +153,8 @@ def fit(texts: list[bytes], y: np.ndarray, *, epochs: int = 14, batch: int = 32,
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
             t += 1
-            flat, starts, counts = _layout([texts[i] for i in own])
             net.__dict__.pop("_pairs", None)
-            most, where = net.pooled(flat, starts, places=True)
-            a, b, begin, n, g, doc = net._document(most, counts)
-            p = 1 / (1 + np.exp(-np.clip(doc @ net.out + net.out_bias, -30, 30)))
-            dz = ((p - y[own]) / len(own)).astype(np.float32)
-            grads = {"out": doc.T @ dz + 1e-4 * net.out}
-            gb = float(dz.sum())
-            d_doc = dz[:, None] * net.out
-            text_of_chunk = np.repeat(np.arange(len(own)), n)
-            dg = d_doc[text_of_chunk, :FILTERS] / n[text_of_chunk, None]
-            # The first chunk with the maximum gets its gradient.
-            top = doc[text_of_chunk, FILTERS:] == g
-            seen = np.cumsum(top, 0)
-            prior = np.concatenate([np.zeros((1, FILTERS), seen.dtype), seen])[begin][text_of_chunk]
-            dg = dg + d_doc[text_of_chunk, FILTERS:] * (top & (seen - prior == 1))
-            ds = dg * (1 - g * g)
-            src = np.where(most[a] >= most[b], where[a], where[b])
-            grads["bias"] = ds.sum(0)
-            gt = np.zeros((WIDTH, 256 * FILTERS), np.float32)
-            col = np.arange(FILTERS)
-            for j in range(WIDTH):
-                gt[j] = np.bincount((flat[src + j].astype(np.int64) * FILTERS + col).ravel(), ds.ravel(), 256 * FILTERS)
-            grads["tables"] = gt.reshape(WIDTH, 256, FILTERS)
+            grads, gb = net.gradients([texts[i] for i in own], y[own])
             lr = rate * (0.1 + 0.9 * (1 - t / total))
             for k, x in params.items():
                 m[k] += 0.1 * (grads[k] - m[k])
