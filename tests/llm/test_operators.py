@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import math
+import os
 import random
 import re
 import zlib
@@ -14,10 +16,11 @@ from pyspark.sql import functions as F
 
 from textmill.llm import bpe_count, byte_cnn, decontam, divergence, mixing, neardup, queries, spans, token_files, toxicity, url_rules
 from textmill.llm._common import maybe_in
+from textmill.llm._sample import labelled_texts
 from textmill.llm.components import components
 
 SF = "/root/testdata/sf0.001"
-TOKENS = queries.TOKENIZERS
+TOKENS = os.path.dirname(queries.tokenizer("word_bpe_49k.json"))
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"w{i % 977} the." for i in range(60_000))
 TEXTS = [
@@ -237,6 +240,21 @@ def test_divergence_verdicts(spark, docs):
     assert 0 < sum(want) < len(want)
 
 
+def test_divergence_of_a_language_with_few_words(spark):
+    rng = random.Random(12)
+    words = "the of and to in that was by with for this from shore wind stone river light under".split()
+    plain = lambda n: " ".join(rng.choices(words, k=n)).capitalize() + "."
+    junk = " ".join(f"{c}{i}$$$ ##|{i}" for i, c in enumerate("QWERTZUIOPASDFGHJKLYXCVBNM"))
+    rows = [(i, plain(60), "en") for i in range(40)] + [(100, junk, "zz"), (101, junk, "en"), (102, plain(60), "yy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.kept for r in divergence.divergence(docs).collect()}
+    # Junk that has a language of its own is no reference for itself.
+    assert not got[100] and not got[101] and got[102] and all(got[i] for i in range(40))
+    assert {r.doc_id: r.kept for r in divergence.divergence(docs, min_reference_words=0).collect()}[100]
+    given = divergence.references(divergence.counted(docs.where("doc_id < 40")))
+    assert {r.doc_id: r.kept for r in divergence.divergence(docs, given=given, min_reference_words=0).collect()}[101] is False
+
+
 def test_divergence_hard_rows(spark):
     rows = hard(spark)
     got = divergence.divergence(rows).toPandas()
@@ -245,6 +263,7 @@ def test_divergence_hard_rows(spark):
     for (i, t), r in zip(sorted(TEXTS, key=lambda x: (str(x[0]), x[1] or "")), sorted(got.itertuples(), key=lambda r: (str(None if pd.isna(r.doc_id) else int(r.doc_id)), r.n_words)), strict=False):
         assert i is None or r.n_words == len(SPACE.findall(t or "")) or i == 6
     assert divergence.divergence(rows.limit(0)).count() == 0
+    assert got.set_index("doc_id").n_words.loc[8] == 120_000
     p = np.array([[2.0, 2, 0], [0, 0, 0]])
     assert divergence.jensen_shannon(p, np.array([1.0, 1, 0])).tolist() == [0, 0]
     assert divergence.jensen_shannon(np.array([[1.0, 0]]), np.array([0.0, 1]))[0] == pytest.approx(1)
@@ -258,14 +277,92 @@ def test_toxicity_held_out():
     both = labels.merge(docs, on="doc_id").sample(2500, random_state=4)
     texts, y = [t.encode() for t in both.text], both.toxic.to_numpy()
     n = 1500
-    links = toxicity.fit_chain(texts[:n], toxicity.weak_labels(texts[:n], y[:n]))
-    assert [x.name for x in links] == ["insult", "contempt", "toxic"] and [len(x.earlier) for x in links] == [0, 1, 2]
+    held = toxicity._Held(texts[:n])
+    links = toxicity.fit_chain(held, toxicity.category_labels(held, y[:n]))
+    assert [x.name for x in links] == ["kind1", "kind2", "toxic"] and [len(x.earlier) for x in links] == [0, 1, 2]
     p = toxicity.predict_chain(links, texts[n:])[:, -1]
     english = (both.lang == "en").to_numpy()[n:]
     caught, clean = p[english & (y[n:] == 1)] >= 0.5, p[y[n:] == 0] >= 0.5
     assert caught.mean() > 0.75 and clean.mean() < 0.01
 
 
+def lasso_by_hand(rows, y, penalty, free):
+    """Logistic weights and bias by small proximal steps, one row and one weight at a time."""
+    d, n = len(rows[0]), len(rows)
+    w, b = [0.0] * d, 0.0
+    for _ in range(6000):
+        gw, gb = [0.0] * d, 0.0
+        for x, t in zip(rows, y, strict=True):
+            p = 1 / (1 + math.exp(-(sum(a * c for a, c in zip(x, w, strict=True)) + b)))
+            gb += (p - t) / n
+            for j in range(d):
+                gw[j] += (p - t) * x[j] / n
+        b -= gb
+        for j in range(d):
+            v = w[j] - gw[j]
+            w[j] = v if j >= d - free else math.copysign(max(abs(v) - penalty, 0), v)
+    return w, b
+
+
+def test_chain_against_brute_force():
+    rng = random.Random(9)
+    words = [b"aa", b"bb", b"cc", b"dd"]
+    texts = [b" ".join(w for w in words if rng.random() < 0.4) for _ in range(60)]
+    one = [int(b"aa" in t or rng.random() < 0.1) for t in texts]
+    two = [int((b"aa" in t and b"bb" in t) or rng.random() < 0.2) for t in texts]
+    penalty, folds, seed = 0.01, 3, 3
+    links = toxicity.fit_chain(texts, pd.DataFrame({"one": one, "two": two}), folds=folds, penalty=penalty, steps=20_000, seed=seed)
+    fold = (np.random.default_rng(seed).permutation(len(texts)) % folds).tolist()
+    held = [[float(w in t.split()) for w in words] for t in texts]
+    prob = lambda x, w, b: 1 / (1 + math.exp(-(sum(a * c for a, c in zip(x, w, strict=True)) + b)))
+    # Every text's probability of the first category comes from a model that hasn't seen it.
+    out = [0.0] * len(texts)
+    for f in range(folds):
+        w, b = lasso_by_hand([x for x, k in zip(held, fold, strict=True) if k != f], [t for t, k in zip(one, fold, strict=True) if k != f], penalty, 0)
+        for i, k in enumerate(fold):
+            if k == f:
+                out[i] = prob(held[i], w, b)
+    first = lasso_by_hand(held, one, penalty, 0)
+    second = lasso_by_hand([[*x, p] for x, p in zip(held, out, strict=True)], two, penalty, 1)
+    # In use the second model gets what the first one, fitted on all texts, says.
+    want = []
+    for x in held:
+        p = prob(x, *first)
+        want.append((p, prob([*x, p], *second)))
+    assert np.abs(toxicity.predict_chain(links, texts) - np.array(want)).max() < 2e-3
+    assert [len(x.earlier) for x in links] == [0, 1]
+
+
+def test_categories_of_toxic_texts():
+    rng = random.Random(10)
+    fill = lambda: " ".join(rng.choices("abcdefghij", k=8))
+    texts = [f"{fill()} grob gemein".encode()] * 1 + [f"{fill()} {rng.choice(['grob gemein', 'gemein fies', 'grob fies'])}".encode() for _ in range(40)]
+    texts += [f"{fill()} {rng.choice(['vil bas', 'bas sot', 'vil sot'])}".encode() for _ in range(25)] + [fill().encode() for _ in range(200)]
+    y = np.array([1] * 66 + [0] * 200)
+    kind = toxicity.kinds_of_toxic(toxicity._Held(texts), y)
+    assert kind.tolist() == [0] * 41 + [1] * 25 + [-1] * 200
+    assert toxicity.category_labels(toxicity._Held(texts), y).sum().tolist() == [41, 25, 66]
+    assert toxicity.kinds_of_toxic(toxicity._Held([]), np.array([])).tolist() == []
+    # Ties, repeats and too few features for two categories.
+    assert toxicity.kinds_of_toxic(toxicity._Held([b"x y"] * 12), np.array([1] * 6 + [0] * 6)).tolist() == [0] * 6 + [-1] * 6
+
+
+def test_toxicity_labels_with_clashing_columns(spark):
+    rows = hard(spark)
+    labels = spark.createDataFrame([(1, 1, "t", 5), (6, 0, "t", 5), (8, 0, None, 5)], "doc_id long, toxic int, text string, size long")
+    got = toxicity.score_toxicity(rows, toxicity.fit_toxicity(rows, labels))
+    assert got.count() == len(TEXTS) and got.columns == ["doc_id", "p_kind1", "p_kind2", "p_toxic", "toxic"]
+
+
+def test_sample_is_bounded_by_bytes(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 6, 8, 9)], "doc_id long, toxic int")
+    every = labelled_texts(hard(spark), labels, "toxic", 10)
+    assert every.doc_id.tolist() == [1, 2, 6, 8, 9] and every.text[3] == LONG
+    few = labelled_texts(hard(spark), labels, "toxic", 10, most_bytes=150)
+    assert few.text.map(len).sum() <= 150 and set(few.doc_id) == {1, 6, 9} | set(few.doc_id) & {2} and not (few.text == LONG).any()
+    assert len(labelled_texts(hard(spark), labels, "toxic", 2)) == 2
+
+
 def test_toxicity_hard_rows(spark):
     rows = hard(spark)
     labels = spark.createDataFrame([(1, 1), (6, 0), (8, 0), (None, 1), (9, None), (1, 1), (3, 0)], "doc_id long, toxic int")
@@ -301,6 +398,17 @@ def test_automaton_against_regex():
         assert [bool(rx.fullmatch(u)) for u in urls] == hit[:, j].tolist(), g
 
 
+def test_urls_are_matched_in_bounded_batches(spark):
+    lens = [5, 3_000_000, 7, 0, 10, 12] * 400
+    parts = list(url_rules.together(lens))
+    assert sorted(i for p in parts for i in p.tolist()) == list(range(len(lens)))
+    assert all(len(p) <= 2048 and len(p) * max(lens[i] for i in p) <= max(url_rules.SYMBOLS_AT_ONCE, max(lens[i] for i in p)) for p in parts)
+    urls = ["http://example.com/en/" + "x" * 300_000 + ".exe", "http://e.net/de/1", *["http://h.org/"] * 3000]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").coalesce(1)
+    got = url_rules.judge_urls(rows, queries.SITE_RULES, url_rules.DEFAULT_GLOBS).orderBy("page_id").toPandas()
+    assert got.rule.tolist()[:2] == ["com/en/", "net/de/"] and (got.verdict[2:] == "allow").all() and len(got) == len(urls)
+
+
 def test_urls_hard_rows(spark):
     urls = [None, "", "no scheme", "HTTP://A.Example.COM/en/7x?q#f", "http://example.com/en/7", "http://xexample.com/en/1", "http://net/de/", "https://a.b.example.net/de/8/1", "x://example.org", "http://h?a=/en/#", "http://e.com/fr://x", "http://site.org/a/login?x", "http://é.org/ü.exe", "http://a.com/en/7", "http://a.com/en/7"]
     rows = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, host string, s string")
@@ -347,6 +455,56 @@ def test_cnn_scores_the_whole_text():
         assert net.score([b"x", t, b"y" * 300])[1] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
 
 
+def test_cnn_gradients():
+    rng = np.random.default_rng(1)
+    net = byte_cnn.ByteCNN(rng.normal(size=(byte_cnn.WIDTH, 256, byte_cnn.FILTERS)).astype(np.float32), rng.normal(size=byte_cnn.FILTERS).astype(np.float32), rng.normal(size=2 * byte_cnn.FILTERS).astype(np.float32), 0.1)
+    texts, y = [b"some text " * 30, b"other words here", b"", b"z" * 200], np.array([1, 0, 1, 0], np.float32)
+
+    def loss():
+        net.__dict__.pop("_pairs", None)
+        p = net.score(texts)
+        return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean() + 0.005 * (net.out.astype(float) ** 2).sum())
+
+    grads, by_bias = net.gradients(texts, y, decay=0.01)
+    checked = 0
+    for name, x in (("tables", net.tables), ("bias", net.bias), ("out", net.out)):
+        flat, own = x.reshape(-1), grads[name].reshape(-1)
+        for i in np.argsort(-np.abs(own))[:25].tolist():
+            was, step = flat[i], 2e-2
+            flat[i] = was + step
+            up = loss()
+            flat[i] = was - step
+            down = loss()
+            flat[i] = was
+            checked += abs((up - down) / (2 * step) - own[i]) < 0.02 * abs(own[i]) + 1e-3
+    # A step may move a maximum to another place, where the loss has a kink.
+    assert checked >= 72
+    was = net.out_bias
+    net.out_bias = was + 1e-2
+    up = loss()
+    net.out_bias = was - 1e-2
+    assert (up - loss()) / 2e-2 == pytest.approx(by_bias, abs=1e-3)
+
+
+def test_cnn_query_holds_out_its_quarter(spark, docs, monkeypatch):
+    seen = []
+    fit = byte_cnn.fit
+    monkeypatch.setattr(byte_cnn, "fit", lambda texts, y, **how: (seen.extend(texts), fit(texts, y, epochs=1))[1])
+    got = queries.op6_byte_cnn(spark, SF).toPandas().set_index("doc_id")
+    want = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in docs.doc_id}
+    assert got.held_out.to_dict() == want
+    labels = table("labels").set_index("doc_id")
+    text = docs.set_index("doc_id").text
+    assert sorted(seen) == sorted(text[i].encode() for i in labels.index if not want[i])
+    assert (got.predicted == (got.score >= 0.7)).all() and got.score.between(0, 1).all() and len(got) == len(docs)
+
+
+def test_cnn_threshold_takes_ties(spark):
+    net = byte_cnn.ByteCNN(np.zeros((byte_cnn.WIDTH, 256, byte_cnn.FILTERS), np.float32), np.zeros(byte_cnn.FILTERS, np.float32), np.zeros(2 * byte_cnn.FILTERS, np.float32), 0.0)
+    got = byte_cnn.score_quality(hard(spark), net, threshold=0.5).collect()
+    assert [(r.score, r.predicted) for r in got] == [(0.5, 1)] * len(TEXTS)
+
+
 def test_cnn_hard_rows(spark):
     rows = hard(spark)
     labels = spark.createDataFrame([(1, 1), (6, 0), (8, 1), (None, 1)], "doc_id long, quality int")

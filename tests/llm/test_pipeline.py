@@ -52,10 +52,28 @@ def test_run_gives_the_last_stage(spark, stages):
     assert sorted(got.ids_crc32) == sorted(stages[-1].ids_crc32)
 
 
-def test_hard_rows(spark, tmp_path):
-    rows = [(1, None, None, None, None), (1, None, None, None, None), (2, "", "en", "a", 0), (None, "no id", "en", None, 5), (3, LONG, "en", "a", len(LONG)), (4, "one two", None, "b", 7), (4, "one two", None, "b", 7)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+def test_hard_rows(spark):
+    toxic_free = "A quiet line about rivers and stones that nobody could mind at all today."
+    rows = [(1, None, None, None, None), (1, None, None, None, None), (2, "", "en", "a", 0), (None, "no id", "en", None, 5), (3, LONG, "en", "a", len(LONG)), (4, "one two", None, "b", 7), (4, "one two", None, "b", 7), (5, toxic_free, "en", "a", 9), (6, toxic_free + " Yes.", "en", "a", 9), (7, toxic_free + " Yes.", "xx", "c", 9)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, hits string, key string, size long, __p string, times int, n long, component_id long"
+    docs = spark.createDataFrame([(*r, "h", "k", 1, "p", 2, 3, 4) for r in rows], schema)
     for d in (docs, docs.limit(0)):
+        seen = []
         for _, stage in pipeline.STAGES:
-            d = stage(spark, d, SF)
-            d.count()
+            before, d = d, stage(spark, d, SF)
+            seen.append([tuple(r) for r in d.collect()])
+            if stage is not pipeline.STAGES[-1][1]:
+                assert d.schema == docs.schema
+                # Rows come out as they went in.
+                assert set(seen[-1]) <= {tuple(r) for r in before.collect()}
+        clean, unique, safe, mixed, tokens = seen
+        if before.isEmpty():
+            assert not tokens
+            continue
+        assert sorted(map(str, clean)) == sorted(str(tuple(r)) for r in docs.collect())
+        # Texts 5 to 7 are one group (11 of 12 shingles); rows of one id, and those without id or words, stay.
+        assert sorted(str(r[0]) for r in unique) == sorted(map(str, [1, 1, 2, None, 3, 4, 4, 5]))
+        assert sorted(map(str, safe)) == sorted(map(str, unique))
+        ids = [r[0] for r in mixed]
+        assert 1 not in ids and 2 not in ids and max(map(ids.count, [None, 3, 5])) <= 2 and ids.count(4) <= 4
+        assert sorted(str(r[0]) for r in tokens) == sorted(map(str, ids)) and [r[1] for r in sorted(tokens, key=lambda r: r[1])][0] == 0
