@@ -401,3 +401,31 @@ def test_blocks_of_queries(spark):
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "doc_id long, v array<double>")
     got = {(r.query_id, r.doc_id): r.s for r in blocks.against(rows, rows.where("doc_id < 7"), lambda v, m: np.abs(m - v).sum(1), "s", part=8, block=3).collect()}
     assert got == {(q, i): pytest.approx(np.abs(x[q] - x[i]).sum()) for q in range(7) for i in range(60) if i != q}
+
+
+def z_by_hand(a, na, b, nb):
+    p = (a + b) / (na + nb)
+    spread = math.sqrt(p * (1 - p) * (1 / na + 1 / nb))
+    return (a / na - b / nb) / spread if spread > 0 else 0.0
+
+
+@pytest.mark.parametrize("by_class", [False, True])
+def test_documents_against_the_rest_over_all_terms(spark, by_class):
+    from textmill.operators import distinct
+
+    rng = np.random.default_rng(11)
+    held = {d: collections.Counter(rng.choice(list("abcdefghijklmnop"), 12, p=np.arange(16, 0, -1) / 136)) for d in range(14)}
+    classes = {d: "xyz"[d % 3] for d in held}
+    rows = spark.createDataFrame([(d, classes[d], str(t), int(n)) for d, c in held.items() for t, n in c.items()], "doc_id long, class string, term string, n long")
+    found = distinct.compare_documents(rows, 4, class_col="class" if by_class else None)
+    got = collections.defaultdict(dict)
+    for r in found.collect():
+        got[r.doc_id][r.rank] = (r.term, r.z_score)
+    absent = {r.doc_id: r.absent for r in distinct.scored_against_classes(rows).collect()}
+    for d, own in held.items():
+        rest = sum((c for e, c in held.items() if (classes[e] != classes[d] if by_class else e != d)), collections.Counter())
+        z = {t: z_by_hand(own[t], sum(own.values()), rest[t], sum(rest.values())) for t in {*own, *rest}}
+        best = sorted(((t, s) for t, s in z.items() if s), key=lambda x: (-round(abs(x[1]), 9), x[0]))[:4]
+        assert got[d] == {k: (t, pytest.approx(s)) for k, (t, s) in enumerate(best, 1)}
+        if by_class:
+            assert absent[d] == len(set(rest) - set(own))

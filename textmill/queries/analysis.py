@@ -124,46 +124,53 @@ def ztest_bigrams(spark, sf_dir):
 _REST = "(n / g - (t - n) / (al - g)) / sqrt((t / al) * (1 - t / al) * (1 / g + 1 / (al - g)))"
 
 
-def _rest(by: str, src: str, topn: int) -> str:
-    return (
-        f"WITH {TOKENS}, c AS (SELECT {src} AS grp, token AS term, count(*)::DOUBLE AS n FROM t GROUP BY ALL), p AS (SELECT term, sum(n) AS t FROM c GROUP BY term), q AS (SELECT grp, sum(n) AS g FROM c GROUP BY grp), a AS (SELECT sum(n) AS al FROM c), "
-        f"z AS (SELECT grp, term, {_REST} AS z FROM c JOIN p USING (term) JOIN q USING (grp), a WHERE {_REST} <> 0) SELECT grp AS {by}, term, round(z, 6) AS z_score, row_number() OVER (PARTITION BY grp ORDER BY abs(z) DESC, term)::INTEGER AS rank FROM z QUALIFY rank <= {topn}"
-    )
-
-
-@query(_rest("lang", "lang", 50))
-def compare_classes(spark, sf_dir):
-    c = T.term_counts(toks(spark, sf_dir, "lang"), "lang")
-    # The SQL beside it has the terms of the language itself only; compare_classes_union has all.
-    return distinct.compare_with_rest(c, "lang", 50, absent=False).select("lang", "term", F.round("z_score", 6).alias("z_score"), "rank")
-
-
 @query(
     f"WITH {TOKENS}, h AS (SELECT lang AS grp, token AS term, count(*)::DOUBLE AS n FROM t GROUP BY ALL), p AS (SELECT term, sum(n) AS t FROM h GROUP BY term), q AS (SELECT grp, sum(n) AS g FROM h GROUP BY grp), a AS (SELECT sum(n) AS al FROM h), c AS (SELECT grp, term, t, g, coalesce(n, 0) AS n FROM q CROSS JOIN p LEFT JOIN h USING (grp, term)), "
     f"z AS (SELECT grp, term, {_REST} AS z FROM c, a WHERE {_REST} <> 0) SELECT grp AS lang, term, round(z, 6) AS z_score, row_number() OVER (PARTITION BY grp ORDER BY abs(z) DESC, term)::INTEGER AS rank FROM z QUALIFY rank <= 50"
 )
-def compare_classes_union(spark, sf_dir):
+def compare_classes(spark, sf_dir):
     c = T.term_counts(toks(spark, sf_dir, "lang"), "lang")
     return distinct.compare_with_rest(c, "lang", 50).select("lang", "term", F.round("z_score", 6).alias("z_score"), "rank")
 
 
-@query(_rest("doc_id", "doc_id", 3).replace("abs(z) DESC, term", "round(abs(z), 9) DESC, term"))
+#: Terms that a document may lack and that may still be among its three strongest: the commonest ones, as many as three more than any document has.
+_LISTED = "k AS (SELECT 3 + max(m) AS k FROM (SELECT count(*) AS m FROM c GROUP BY doc_id))"
+
+
+@query(
+    f"WITH {TOKENS}, c AS (SELECT doc_id, token AS term, count(*)::DOUBLE AS n FROM t GROUP BY ALL), p AS (SELECT term, sum(n) AS t FROM c GROUP BY term), q AS (SELECT doc_id, sum(n) AS g FROM c GROUP BY doc_id), al AS (SELECT sum(n) AS al FROM c), {_LISTED}, "
+    "l AS (SELECT term, t FROM (SELECT *, row_number() OVER (ORDER BY t DESC, term) AS r FROM p) r, k WHERE r <= k), u AS (SELECT doc_id, term, n FROM c UNION ALL SELECT doc_id, term, 0 FROM (SELECT doc_id, term FROM q CROSS JOIN l) x ANTI JOIN c USING (doc_id, term)), "
+    f"z AS MATERIALIZED (SELECT doc_id, term, {_REST} AS z FROM u JOIN p USING (term) JOIN q USING (doc_id), al) SELECT doc_id, term, round(z, 6) AS z_score, row_number() OVER (PARTITION BY doc_id ORDER BY round(abs(z), 9) DESC, term)::INTEGER AS rank FROM z WHERE z <> 0 QUALIFY rank <= 3"
+)
 def compare_doc_to_corpus_top(spark, sf_dir):
     c = T.term_counts(toks(spark, sf_dir), "doc_id")
-    z = distinct.compare_with_rest(c, "doc_id", absent=False)
-    from pyspark.sql import Window
+    return distinct.compare_documents(c, 3).select("doc_id", "term", F.round("z_score", 6).alias("z_score"), "rank")
 
-    w = Window.partitionBy("doc_id").orderBy(F.round(F.abs("z_score"), 9).desc(), "term")
-    return z.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("doc_id", "term", F.round("z_score", 6).alias("z_score"), "rank")
+
+_CLASSES = (
+    f"WITH {TOKENS}, c AS (SELECT doc_id, lang, token AS term, count(*)::DOUBLE AS n FROM t GROUP BY ALL), bc AS (SELECT lang, term, sum(n) AS ct FROM c GROUP BY ALL), p AS (SELECT term, sum(n) AS t FROM c GROUP BY term), sz AS (SELECT lang, sum(n) AS cg FROM c GROUP BY lang), q AS (SELECT doc_id, lang, sum(n) AS na FROM c GROUP BY ALL), al AS (SELECT sum(n) AS al FROM c), "
+    "o AS (SELECT sz.lang, p.term, t - coalesce(ct, 0) AS b, al - cg AS nb FROM sz CROSS JOIN p LEFT JOIN bc ON bc.lang = sz.lang AND bc.term = p.term, al)"
+)
 
 
 @query(
-    f"WITH {TOKENS}, c AS (SELECT doc_id, lang, token AS term, count(*)::DOUBLE AS n FROM t GROUP BY ALL), bc AS (SELECT lang, term, sum(n) AS ct FROM c GROUP BY ALL), p AS (SELECT term, sum(n) AS t FROM c GROUP BY term), sz AS (SELECT lang, sum(n) AS cg FROM c GROUP BY lang), q AS (SELECT doc_id, sum(n) AS na FROM c GROUP BY doc_id), al AS (SELECT sum(n) AS al FROM c), "
-    f"j AS (SELECT doc_id, lang, term, n AS a, na, t - ct AS b, al - cg AS nb FROM c JOIN bc USING (lang, term) JOIN p USING (term) JOIN sz USING (lang) JOIN q USING (doc_id), al) SELECT doc_id, count(*)::BIGINT AS n, round(max({_Z}), 5) AS most FROM j WHERE {_Z} <> 0 GROUP BY doc_id"
+    f"{_CLASSES}, j AS (SELECT doc_id, n AS a, na, b, nb FROM c JOIN o USING (lang, term) JOIN q USING (doc_id, lang)), z AS MATERIALIZED (SELECT doc_id, {_Z} AS z FROM j), s AS (SELECT doc_id, count(*) FILTER (z <> 0) AS n, max(z) AS most FROM z GROUP BY doc_id), "
+    "v AS (SELECT lang, count(*) AS v FROM o WHERE b > 0 GROUP BY lang), h AS (SELECT doc_id, count(*) AS h FROM c JOIN o USING (lang, term) WHERE b > 0 GROUP BY doc_id) "
+    "SELECT doc_id, (n + v - coalesce(h, 0))::BIGINT AS n, round(most, 5) AS most FROM s JOIN q USING (doc_id) JOIN v USING (lang) LEFT JOIN h USING (doc_id)"
 )
 def compare_docs_to_classes(spark, sf_dir):
     c = T.term_counts(toks(spark, sf_dir, "lang"), "doc_id", "lang").withColumnRenamed("lang", "class")
-    return distinct.compare_documents_to_classes(c).groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.max("z_score"), 5).alias("most"))
+    own = distinct.compare_documents_to_classes(c).groupBy("doc_id").agg(F.count("*").alias("own"), F.max("z_score").alias("most"))
+    return own.join(distinct.scored_against_classes(c), "doc_id").select("doc_id", (F.col("own") + F.col("absent")).alias("n"), F.round("most", 5).alias("most"))
+
+
+@query(
+    f"{_CLASSES}, {_LISTED}, l AS (SELECT lang, term FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY b DESC, term) AS r FROM o WHERE b > 0) r, k WHERE r <= k), u AS (SELECT doc_id, lang, term, n AS a FROM c UNION ALL SELECT doc_id, lang, term, 0 FROM (SELECT doc_id, lang, term FROM q JOIN l USING (lang)) x ANTI JOIN c USING (doc_id, term)), "
+    f"z AS MATERIALIZED (SELECT doc_id, term, {_Z} AS z FROM u JOIN o USING (lang, term) JOIN q USING (doc_id, lang)) SELECT doc_id, term, round(z, 6) AS z_score, row_number() OVER (PARTITION BY doc_id ORDER BY round(abs(z), 9) DESC, term)::INTEGER AS rank FROM z WHERE z <> 0 QUALIFY rank <= 3"
+)
+def compare_docs_to_classes_top(spark, sf_dir):
+    c = T.term_counts(toks(spark, sf_dir, "lang"), "doc_id", "lang").withColumnRenamed("lang", "class")
+    return distinct.compare_documents_to_classes(c, 3).select("doc_id", "term", F.round("z_score", 6).alias("z_score"), "rank")
 
 
 @query(
