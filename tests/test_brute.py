@@ -376,7 +376,7 @@ def test_rank_sum_by_definition(spark):
 
 
 def test_windows_from_texts_are_those_of_the_token_table(spark, docs):
-    from textmill.operators import stats, windows
+    from textmill.operators import dtm, stats, windows
     from textmill.operators import tokens as T
 
     rows = [(1, "the The a of b the"), (2, ""), (3, None), (4, "the"), (5, "of the " * 200)]
@@ -386,6 +386,10 @@ def test_windows_from_texts_are_those_of_the_token_table(spark, docs):
         assert as_set(windows.text_counts(d, ["the", "of"], 3, **how)) == as_set(windows.token_counts(T.tokens(d), ["the", "of"], 3, **how))
     assert as_set(stats.doc_stats_of(d)) == as_set(stats.doc_stats(T.tokens(d)))
     assert as_set(stats.mattr_of(d, 4)) == [(i, pytest.approx(v)) for i, v in as_set(stats.mattr(T.tokens(d), 4))]
+    assert as_set(dtm.of_texts(d)) == as_set(dtm.dtm(T.tokens(d)))
+    assert as_set(dtm.of_texts(d, min_df=2, max_terms=1)) == as_set(dtm.dtm(T.tokens(d), min_df=2, max_terms=1))
+    assert as_set(dtm.of_texts(d, max_df=0.5)) == as_set(dtm.dtm(T.tokens(d), max_df=0.5))
+    assert dtm.of_texts(d.limit(0)).count() == 0
     assert as_set(windows.text_token_windows(d, 2)) == as_set(windows.token_windows(T.tokens(d), 2))
     for pattern, n in (("th", 4), ("aa", 5), ("a", 1), ("xyz", 2)):
         c = spark.createDataFrame([(1, "aaaa th the aaath"), (2, ""), (3, None)], "doc_id long, text string")

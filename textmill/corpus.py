@@ -63,7 +63,7 @@ class Corpus:
         return T.most_common(T.term_counts(self.tokens()), n, ascending=not most_common)
 
     def dtm(self, **how) -> DataFrame:
-        return dtm.dtm(self.tokens(), **how)
+        return dtm.of_texts(self.docs, self.tokenizer, **how)
 
     def doc_stats(self) -> DataFrame:
         return stats.doc_stats_of(self.docs, self.tokenizer)

@@ -48,6 +48,22 @@ def term_statistics(tokens: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([count(n == 1), pa.array(sizes), count(n > 0), count(n == 2)], names=["hapax_legomena", "total_tokens", "total_terms", "hapax_dislegomena"])
 
 
+def term_counts():
+    """The distinct terms of a text and how often it has each."""
+    kind = pa.struct([("term", pa.string()), ("n", pa.int64())])
+
+    @F.arrow_udf("array<struct<term: string, n: long>>")
+    def counts(tokens: pa.Array) -> pa.Array:
+        code, terms, sizes = coded(tokens)
+        many = max(len(terms), 1)
+        pair, n = np.unique(np.repeat(np.arange(len(sizes)), sizes) * many + code, return_counts=True)
+        flat_terms = terms.take(pa.array(pair % many)) if len(pair) else pa.array([], pa.string())
+        ends = np.concatenate([[0], np.cumsum(np.bincount(pair // many, minlength=len(sizes)))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([flat_terms.cast(pa.string()), pa.array(n.astype(np.int64))], fields=list(kind)))
+
+    return counts
+
+
 def moving_ttr(window: int):
     """Mean type-token ratio over all windows of so many tokens; of the whole text if it is shorter, null without tokens."""
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.functions.tokens import whitespace_tokens
+from textmill.operators import arrays
 from textmill.operators.rows import each
 
 
@@ -37,9 +38,8 @@ def append(docs: DataFrame, *others: DataFrame) -> DataFrame:
 
 def records(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", active: Column | None = None) -> DataFrame:
     """Documents as records: counts, density, preview and content hash of each text."""
-    words = whitespace_tokens(F.col(text_col))
-    out = docs.withColumn("__tokens", words)
-    n, terms = F.size("__tokens").cast("long"), F.size(F.array_distinct("__tokens")).cast("long")
+    out = docs.withColumn("__s", arrays.term_statistics(whitespace_tokens(F.col(text_col))))
+    n, terms = (F.when(F.col(text_col).isNotNull(), F.col(f"__s.{c}")) for c in ("total_tokens", "total_terms"))
     return out.select(
         *docs.columns,
         (active if active is not None else F.lit(True)).alias("is_active"),

@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmill.functions import tokens as ft
 from textmill.functions.tokens import natural_key
+from textmill.operators import arrays
+from textmill.operators.rows import each
 
 
 def dtm(tokens: DataFrame, *, min_df: int | None = None, max_df: float | int | None = None, max_terms: int | None = None, vocabulary: Iterable[str] | None = None, n_docs: int | None = None) -> DataFrame:
     """doc_id, term, n; vocabulary limits are semi joins with the terms that pass."""
-    counts = tokens.groupBy("doc_id", F.col("token").alias("term")).agg(F.count("*").alias("n"))
+    return _limited(tokens.groupBy("doc_id", F.col("token").alias("term")).agg(F.count("*").alias("n")), min_df, max_df, max_terms, vocabulary, n_docs)
+
+
+def of_texts(docs: DataFrame, tokenizer: Callable[[Column], Column] = ft.whitespace_tokens, *, id_col: str = "doc_id", text_col: str = "text", keep: Iterable[str] = (), min_df: int | None = None, max_df: float | int | None = None, max_terms: int | None = None, vocabulary: Iterable[str] | None = None, n_docs: int | None = None) -> DataFrame:
+    """The same from the texts, each counted within its row, with no shuffle; columns ``keep`` stay unless limits are set.
+
+    A row is a document: rows that share an id are not added up.
+    """
+    rows = each(docs, arrays.term_counts()(tokenizer(F.col(text_col))), "__i", "__c", F.col(id_col).alias("doc_id"), *keep)
+    return _limited(rows.select("doc_id", *keep, F.col("__c.term").alias("term"), F.col("__c.n").alias("n")), min_df, max_df, max_terms, vocabulary, n_docs)
+
+
+def _limited(counts: DataFrame, min_df: int | None, max_df: float | int | None, max_terms: int | None, vocabulary: Iterable[str] | None, n_docs: int | None) -> DataFrame:
     if vocabulary is not None:
         counts = counts.where(F.col("term").isin(list(vocabulary)))
     if min_df is None and max_df is None and max_terms is None:
@@ -22,7 +37,7 @@ def dtm(tokens: DataFrame, *, min_df: int | None = None, max_df: float | int | N
         df = df.where(F.col("df") >= min_df)
     if max_df is not None:
         if isinstance(max_df, float):
-            df = df.where(F.col("df") <= max_df * (n_docs if n_docs is not None else tokens.select("doc_id").distinct().count()))
+            df = df.where(F.col("df") <= max_df * (n_docs if n_docs is not None else counts.select("doc_id").distinct().count()))
         else:
             df = df.where(F.col("df") <= max_df)
     if max_terms is not None:

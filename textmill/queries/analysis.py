@@ -23,7 +23,7 @@ def toks(spark, sf_dir, *keep):
 
 
 def matrix(spark, sf_dir):
-    return dtm.dtm(toks(spark, sf_dir))
+    return dtm.of_texts(docs(spark, sf_dir))
 
 
 @query(f"{_DTM} SELECT doc_id, count(*)::BIGINT AS terms, sum(n)::BIGINT AS tokens, max(n) AS most FROM c GROUP BY doc_id")
@@ -33,12 +33,12 @@ def dtm_long(spark, sf_dir):
 
 @query(f"{_DTM}, d AS (SELECT term FROM c GROUP BY term HAVING count(*) >= 5 AND count(*) <= 0.5 * (SELECT count(DISTINCT doc_id) FROM t)) SELECT term, count(*)::BIGINT AS df, sum(n)::BIGINT AS total FROM c SEMI JOIN d USING (term) GROUP BY term")
 def dtm_min_max_df(spark, sf_dir):
-    return dtm.dtm(toks(spark, sf_dir), min_df=5, max_df=0.5).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("total"))
+    return dtm.of_texts(docs(spark, sf_dir), min_df=5, max_df=0.5).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("total"))
 
 
 @query(f"{_DTM}, d AS (SELECT term FROM c GROUP BY term ORDER BY sum(n) DESC, term LIMIT 200) SELECT doc_id, term, n FROM c SEMI JOIN d USING (term)")
 def dtm_max_terms(spark, sf_dir):
-    return dtm.dtm(toks(spark, sf_dir), max_terms=200)
+    return dtm.of_texts(docs(spark, sf_dir), max_terms=200)
 
 
 @query(f"{_DTM}, d AS (SELECT term, count(*) AS df FROM c GROUP BY term), k AS (SELECT count(DISTINCT doc_id) AS k FROM c) SELECT doc_id, round(sum(n * (ln((1 + k) / (1 + df)) + 1)), 4) AS weight, round(max(n * (ln((1 + k) / (1 + df)) + 1)), 6) AS most FROM c JOIN d USING (term), k GROUP BY doc_id")
@@ -143,7 +143,7 @@ _LISTED = "k AS (SELECT 3 + max(m) AS k FROM (SELECT count(*) AS m FROM c GROUP
     f"z AS MATERIALIZED (SELECT doc_id, term, {_REST} AS z FROM u JOIN p USING (term) JOIN q USING (doc_id), al) SELECT doc_id, term, round(z, 6) AS z_score, row_number() OVER (PARTITION BY doc_id ORDER BY round(abs(z), 9) DESC, term)::INTEGER AS rank FROM z WHERE z <> 0 QUALIFY rank <= 3"
 )
 def compare_doc_to_corpus_top(spark, sf_dir):
-    c = T.term_counts(toks(spark, sf_dir), "doc_id")
+    c = matrix(spark, sf_dir)
     return distinct.compare_documents(c, 3).select("doc_id", "term", F.round("z_score", 6).alias("z_score"), "rank")
 
 
@@ -159,7 +159,7 @@ _CLASSES = (
     "SELECT doc_id, (n + v - coalesce(h, 0))::BIGINT AS n, round(most, 5) AS most FROM s JOIN q USING (doc_id) JOIN v USING (lang) LEFT JOIN h USING (doc_id)"
 )
 def compare_docs_to_classes(spark, sf_dir):
-    c = T.term_counts(toks(spark, sf_dir, "lang"), "doc_id", "lang").withColumnRenamed("lang", "class")
+    c = dtm.of_texts(docs(spark, sf_dir), keep=["lang"]).withColumnRenamed("lang", "class")
     own = distinct.compare_documents_to_classes(c).groupBy("doc_id").agg(F.count("*").alias("own"), F.max("z_score").alias("most"))
     return own.join(distinct.scored_against_classes(c), "doc_id").select("doc_id", (F.col("own") + F.col("absent")).alias("n"), F.round("most", 5).alias("most"))
 
@@ -169,7 +169,7 @@ def compare_docs_to_classes(spark, sf_dir):
     f"z AS MATERIALIZED (SELECT doc_id, term, {_Z} AS z FROM u JOIN o USING (lang, term) JOIN q USING (doc_id, lang)) SELECT doc_id, term, round(z, 6) AS z_score, row_number() OVER (PARTITION BY doc_id ORDER BY round(abs(z), 9) DESC, term)::INTEGER AS rank FROM z WHERE z <> 0 QUALIFY rank <= 3"
 )
 def compare_docs_to_classes_top(spark, sf_dir):
-    c = T.term_counts(toks(spark, sf_dir, "lang"), "doc_id", "lang").withColumnRenamed("lang", "class")
+    c = dtm.of_texts(docs(spark, sf_dir), keep=["lang"]).withColumnRenamed("lang", "class")
     return distinct.compare_documents_to_classes(c, 3).select("doc_id", "term", F.round("z_score", 6).alias("z_score"), "rank")
 
 
