@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm._common import materialize
+from textmill.llm._common import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,18 +39,22 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """id, component_id (the smallest id reachable) for each node of an edge.
 
     ``edges`` has two long columns u and v, in any order, repeats and loops
-    allowed.  Nodes that occur only in loops, and nulls, get no row.
+    allowed.  Nodes that occur only in loops, and nulls, get no row.  The result is
+    written; what the rounds wrote is deleted.
     """
     now = materialize(edges.select(F.col(edges.columns[0]).alias("u"), F.col(edges.columns[1]).alias("v")).where("u <> v").distinct(), "edges")
     state = _state(now)
     for _ in range(most_rounds):
         if not state[0]:
             break
-        now = materialize(_small_star(_large_star(now)), "edges")
+        before, now = now, materialize(_small_star(_large_star(now)), "edges")
+        discard(before)
         if (new := _state(now)) == state:
             break
         state = new
     else:
         raise RuntimeError("components did not settle")
     pairs = now.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
-    return pairs.unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())
+    out = materialize(pairs.unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()), "components")
+    discard(now)
+    return out

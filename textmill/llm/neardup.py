@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm._common import fresh, materialize, maybe_in, mix64, slices, text_of
+from textmill.llm._common import discard, fresh, materialize, maybe_in, mix64, slices, text_of
 from textmill.llm.components import components
 
 BANDS, ROWS = 28, 5
@@ -211,6 +211,7 @@ class _Links:
             .distinct()
         )
         self.add(materialize(found, "links"))
+        discard(near, text)
 
     def fetch(self, ids: DataFrame) -> DataFrame:
         """Texts of some ids, written once; other texts are dropped where they lie, before any shuffle."""
@@ -219,7 +220,8 @@ class _Links:
 
     def add(self, found: DataFrame) -> None:
         self.links = found if self.links is None else self.links.unionAll(found)
-        self.comps = materialize(components(self.links), "components")
+        before, self.comps = self.comps, components(self.links)
+        discard(before)
 
     def spread(self, buckets: DataFrame) -> DataFrame:
         """Members (bucket, id) of buckets that span more than one component, with the component."""
@@ -280,9 +282,10 @@ def _resolve(links: _Links, buckets: DataFrame) -> None:
     # Prefix rule: with shingles ordered by rarity among these members, two linked sets share one of their
     # first n - ceil(share * n) + 1.  Members that share such a shingle, through others too, are a family.
     texts = links.fetch(ids)
-    own = materialize(texts.select("id", F.explode(_prefixes(links.k)("text")).alias("s")).distinct(), "shingles")
-    rarity = own.groupBy("s").agg(F.count("*").alias("df"))
-    ranked = own.join(rarity, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("all"))
+    discard(ids)
+    own_shingles = materialize(texts.select("id", F.explode(_prefixes(links.k)("text")).alias("s")).distinct(), "shingles")
+    rarity = own_shingles.groupBy("s").agg(F.count("*").alias("df"))
+    ranked = own_shingles.join(rarity, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("all"))
     size = F.size("all")
     keep = (size - F.ceil(size * F.lit(links.percent) / 100) + 1).cast("int")
     firsts = ranked.select("id", F.explode(F.filter(F.slice("all", F.lit(1), keep), lambda x: x["df"] > 1)).alias("x")).select("id", F.col("x.s").alias("s"))
@@ -297,6 +300,7 @@ def _resolve(links: _Links, buckets: DataFrame) -> None:
     met = met.select("id", "c", "family", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     found = met.join(texts, "id").groupBy("family", "i", "j").applyInPandas(_block_links(links.percent, links.k), "a long, b long")
     links.add(materialize(found, "links"))
+    discard(texts, own_shingles, firsts, families)
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 3, percent: int = 85, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,8 +319,11 @@ def near_duplicates(docs: DataFrame, *, k: int = 3, percent: int = 85, bands: in
     buckets = materialize(values.join(shared, "bucket").select("bucket", "id", "pivot"), "buckets")
 
     links = _Links(texts, classes, k, percent, bands * rows)
-    links.verify(materialize(buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs"))
+    pairs = materialize(buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    links.verify(pairs)
+    discard(pairs)
     _resolve(links, buckets.select("bucket", "id"))
+    discard(buckets)
 
     component = classes.select("digest", "id").join(links.comps, "id", "left").select("digest", F.coalesce("component_id", "id").alias("found"))
     out = rows_of.select("doc_id", "n", "digest").join(component, "digest", "left")
