@@ -75,5 +75,5 @@ def test_hard_rows(spark):
         assert sorted(str(r[0]) for r in unique) == sorted(map(str, [1, 1, 2, None, 3, 4, 4, 5]))
         assert sorted(map(str, safe)) == sorted(map(str, unique))
         ids = [r[0] for r in mixed]
-        assert 1 not in ids and 2 not in ids and max(map(ids.count, [None, 3, 5])) <= 2 and ids.count(4) <= 4
+        assert max(map(ids.count, [None, 2, 3, 5])) <= 2 and max(map(ids.count, [1, 4])) <= 4
         assert sorted(str(r[0]) for r in tokens) == sorted(map(str, ids)) and [r[1] for r in sorted(tokens, key=lambda r: r[1])][0] == 0
