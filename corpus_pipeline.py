@@ -15,9 +15,9 @@ whatever they are called, and rows unchanged.
   id stay or go together; rows without an id or without words are in no group and stay.
 * decontamination: a row goes if any benchmark item occurs in it, items without an id
   too; null and empty texts stay.
-* mixing: rows are taken none, one or two times; rows without words are never taken, as
-  they add nothing to a target; rows without a source are a source of their own; rows
-  equal in id and text share what is taken of them.
+* mixing: rows are taken none, one or two times; rows without words as often as their
+  source goes wholly into its target, which adds nothing; rows without a source are a
+  source of their own; rows equal in id and text share what is taken of them.
 * token_output: a row for each document in the files, in ascending id with nulls first,
   then by text; a null or empty text is the end id alone.
 
