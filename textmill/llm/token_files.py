@@ -42,7 +42,7 @@ NULL_ID = np.iinfo(np.int64).min
 #: Bytes of text for each shard, on average.
 SHARD_BYTES = 256 << 20
 #: Pieces and words that a worker remembers; beyond it the memory starts afresh.
-REMEMBERED = 700_000
+REMEMBERED = 450_000
 MANIFEST = "shard int, n_docs long, n_tokens long, width int"
 #: Splitters that drop white space, so that no token spans it: such tokenizers may be asked word by word.
 _WORDWISE = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
