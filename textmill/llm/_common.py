@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -90,6 +92,15 @@ def maybe_in(ids: DataFrame) -> Callable[[Column], Column]:
     return lambda column: test(F.xxhash64(column.cast("long")))
 
 
+def give_back() -> None:
+    """Return freed memory to the system, after a fit in the driver: the session goes on with other work beside it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, made longer until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

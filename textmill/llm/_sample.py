@@ -36,4 +36,4 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int, *,
             rows.append((r.doc_id, r.label))
     kept = docs.sparkSession.createDataFrame(rows, "doc_id long, label int")
     found = texts.join(F.broadcast(kept), "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
-    return found.toPandas().sort_values("doc_id").reset_index(drop=True)
+    return found.orderBy("doc_id").toArrow().to_pandas(split_blocks=True, self_destruct=True)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm._common import slices, text_of
+from textmill.llm._common import give_back, slices, text_of
 from textmill.llm._sample import labelled_texts
 
 #: Labelled rows used for fitting, at most.
@@ -169,7 +169,12 @@ def fit(texts: list[bytes], y: np.ndarray, *, epochs: int = 14, batch: int = 32,
 def fit_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample: int = SAMPLE, among: Column | None = None, id_col: str = "doc_id", text_col: str = "text", **how) -> ByteCNN:
     """Fit on at most ``sample`` labelled rows."""
     rows = labelled_texts(docs, labels, label, sample, among=among, id_col=id_col, text_col=text_col)
-    return fit([t.encode("utf-8") for t in rows["text"]], rows["label"].to_numpy(np.float32), **how)
+    texts, y = [t.encode("utf-8") for t in rows["text"]], rows["label"].to_numpy(np.float32)
+    del rows
+    net = fit(texts, y, **how)
+    del texts
+    give_back()
+    return net
 
 
 def score_quality(docs: DataFrame, net: ByteCNN, *, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm._common import fresh, slices, text_of
+from textmill.llm._common import fresh, give_back, slices, text_of
 from textmill.llm._sample import labelled_texts
 
 #: Labelled rows used for fitting, at most.
@@ -242,8 +242,15 @@ def category_labels(held: _Held, toxic: np.ndarray, kinds: int = KINDS) -> pd.Da
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample: int = SAMPLE, among: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> list[Link]:
     """Fit the chain on at most ``sample`` labelled rows."""
     rows = labelled_texts(docs, labels, label, sample, among=among, id_col=id_col, text_col=text_col)
-    held = _Held([t.encode("utf-8") for t in rows["text"]])
-    return fit_chain(held, category_labels(held, rows["label"].to_numpy() > 0))
+    texts, toxic = [t.encode("utf-8") for t in rows["text"]], rows["label"].to_numpy() > 0
+    # The driver holds the texts once, and not at all while it fits.
+    del rows
+    held = _Held(texts)
+    del texts
+    links = fit_chain(held, category_labels(held, toxic))
+    del held
+    give_back()
+    return links
 
 
 def probabilities(links: list[Link]) -> Callable[[str], Column]:
