@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -670,6 +671,66 @@ def test_near_duplicates(spark, monkeypatch):
     assert neardup.near_duplicates(hard(spark).limit(0)).count() == 0
 
 
+def test_near_duplicates_compares_no_component_with_itself(spark, monkeypatch, tmp_path):
+    """A text that is alike but not linked meets a component's members once; they don't all meet each other again."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    block_links, folder = neardup._block_links, str(tmp_path)
+
+    def noted(*how):
+        compare = block_links(*how)
+
+        def counted(rows):
+            with open(f"{folder}/{random.Random().getrandbits(64)}", "w") as f:
+                f.write(str(len(rows)))
+            return compare(rows)
+
+        return counted
+
+    monkeypatch.setattr(neardup, "_block_links", noted)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(200)]
+
+    def changed(n):
+        w = list(base)
+        for at in rng.sample(range(2, 198, 6), n):
+            w[at] = f"new{rng.getrandbits(40)}"
+        return " ".join(w)
+
+    rows = [(0, " ".join(base))] + [(i, changed(3)) for i in range(1, 81)] + [(100, changed(12)), (101, changed(12))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_near(rows) and {c for _, c in got.values()} == {0, 100, 101}
+    met = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert met and sum(met) <= 3 * len(rows)
+
+
+def test_near_duplicates_in_blocks(spark):
+    """Two blocks of a group give the links of all their pairs, but for those within a component."""
+    rows = [(i, t) for i, t in enumerate(t for s in range(3) for t in family(s, 25)) if t]
+    sets = {i: s for (i, _), s in zip(rows, neardup.shingles([t.encode() for _, t in rows]), strict=True)}
+    for cut in (0, 10, 40):
+        for c in ({i: i for i in sets}, {i: 1000 if i % 3 else i for i in sets}):
+            t = pa.table({"id": list(sets), "c": [c[i] for i in sets], "mine": [int(i < cut) for i in sets], "s": [s.tobytes() for s in sets.values()]})
+            got = neardup._block_links(85)(t).to_pylist()
+            want = [(i, j) for i in sets for j in sets if i < j and c[i] != c[j] and (not cut or i < cut <= j) and 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))]
+            assert len(want) > 3 or cut
+            assert {(min(p), max(p)) for p in ((r["a"], r["b"]) for r in got)} <= set(want)
+
+            def joined(pairs, c=c):
+                head = {}
+
+                def top(x):
+                    while head.setdefault(x, x) != x:
+                        x = head[x]
+                    return x
+
+                for a, b in pairs:
+                    x, y = sorted((top(c[a]), top(c[b])))
+                    head[y] = x
+                return {x: top(x) for x in sorted(set(c.values()))}
+
+            assert joined((r["a"], r["b"]) for r in got) == joined(want)
+
+
 def test_near_duplicates_of_the_table(spark, docs):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op9_near_duplicates(spark, SF).collect()}
     assert got == brute_near(list(zip(docs.doc_id, docs.text, strict=True)))

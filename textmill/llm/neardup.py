@@ -14,11 +14,11 @@ whole sequence as one.  Two documents are linked if ``100 * |A & B| >= percent *
    pairs than members.
 4. Components follow from the links by alternating large-star and small-star.
 5. What step 3 may have missed are pairs of one bucket that are in different
-   components.  Buckets whose members are all in one component are done.  The
-   members of the others go through an exact prefix rule (linked sets share one
-   of each other's rarest shingles), which splits them into families; families
-   that still span components are compared in blocks, every two blocks in one
-   task, which gives back only links that join components.
+   components.  Both have then met the same smallest member.  All that met one
+   form a group; in each group that spans components, the members outside the
+   component of its smallest are compared with all others, on the full sets and
+   block by block, and members of one component aren't compared again.  A task
+   gives back only links that join components.
 
 At 28 bands of 5 rows two sets at the threshold of 85 % share no band with
 probability 1e-7.
@@ -32,7 +32,6 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -42,8 +41,9 @@ from textmill.llm._common import discard, fresh, materialize, maybe_in, mix64, s
 from textmill.llm.components import components
 
 BANDS, ROWS = 28, 5
-#: Members in a block when the rest of a bucket is compared.
-BLOCK = 256
+#: Members in a block when the rest of a group is compared, and bytes of their texts.
+BLOCK = 1024
+BLOCK_BYTES = 8 << 20
 #: Words that a worker remembers the hash of; beyond it the memory starts afresh.
 REMEMBERED = 150_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -172,10 +172,10 @@ def _linked(k: int, percent: int):
     return linked
 
 
-def _prefixes(k: int):
-    @F.arrow_udf("array<long>")
+def _sets(k: int):
+    @F.arrow_udf("binary")
     def listed(texts: pa.Array) -> pa.Array:
-        return pa.array([s.view(np.int64) for _, part in slices(texts) for s in shingles(part, k)], pa.list_(pa.int64()))
+        return pa.array([s.tobytes() for _, part in slices(texts) for s in shingles(part, k)], pa.binary())
 
     return listed
 
@@ -230,77 +230,92 @@ class _Links:
         return own.join(several.select("bucket"), "bucket")
 
 
-def _block_links(percent: int, k: int):
-    """Links across components within one pair of blocks of a family; of those that join the same two, one."""
+def _block_links(percent: int):
+    """Links across components between two blocks of a group, or within one; of those that join the same two, one."""
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id").drop_duplicates("id")
-        sets = shingles([(t or "").encode("utf-8") for t in rows["text"]], k)
+    def compare(rows: pa.Table) -> pa.Table:
+        ids, comp, mine = (rows.column(x).to_numpy() for x in ("id", "c", "mine"))
+        sets = [np.frombuffer(s, np.uint64) for s in rows.column("s").to_pylist()]
         n = np.fromiter(map(len, sets), np.int64, len(sets))
-        every, code, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        del every
+        one = np.flatnonzero(mine == mine.min())
+        two = np.flatnonzero(mine == mine.max())
+        place = np.zeros(len(sets), np.int64)
+        place[one], place[two] = np.arange(len(one)), np.arange(len(two))
+        code = np.unique(np.concatenate(sets), return_inverse=True)[1]
         owner = np.repeat(np.arange(len(sets)), n)
-        # A shingle of one member adds to no overlap.
-        used = df[code] > 1
-        code, owner = np.unique(code[used], return_inverse=True)[1], owner[used]
-        order = np.argsort(code, kind="stable")
-        code, owner = code[order], owner[order]
-        both = np.zeros((len(sets), len(sets)), np.float32)
-        last = int(code[-1]) + 1 if len(code) else 0
+        # A shingle of one side only adds to no overlap.
+        left = mine[owner] == mine.min()
+        right = mine[owner] == mine.max()
+        in_left, in_right = (np.bincount(code[x], minlength=int(code.max(initial=-1)) + 1) for x in (left, right))
+        shared = (in_left > 0) & (in_right > 0) & (in_left + in_right > (2 if len(one) == len(sets) else 1))
+        number = np.cumsum(shared) - 1
+        sides = []
+        for side in (left, right):
+            c, o = code[side], place[owner[side]]
+            c, o = number[c[shared[c]]], o[shared[c]]
+            order = np.argsort(c, kind="stable")
+            sides.append((c[order], o[order]))
+        both = np.zeros((len(one), len(two)), np.float32)
+        last = int(shared.sum())
         for at in range(0, last, 4096):
-            lo, hi = np.searchsorted(code, [at, at + 4096])
-            x = np.zeros((len(sets), min(4096, last - at)), np.float32)
-            x[owner[lo:hi], code[lo:hi] - at] = 1
-            both += x @ x.T
-        near = 100 * both >= percent * (n[:, None] + n[None, :] - both)
-        near &= rows["c"].to_numpy()[:, None] != rows["c"].to_numpy()[None, :]
-        head = {c: c for c in rows["c"].tolist()}
+            some = []
+            for (c, o), size in zip(sides, both.shape, strict=True):
+                lo, hi = np.searchsorted(c, [at, at + 4096])
+                x = np.zeros((size, min(4096, last - at)), np.float32)
+                x[o[lo:hi], c[lo:hi] - at] = 1
+                some.append(x)
+            both += some[0] @ some[1].T
+        both = both.astype(np.float64)
+        near = 100 * both >= percent * (n[one][:, None] + n[two][None, :] - both)
+        near &= comp[one][:, None] != comp[two][None, :]
+        i, j = (at[x] for at, x in zip((one, two), np.nonzero(near), strict=True))
+        # One link for every two components that meet.
+        first = np.unique(np.stack([np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])]), axis=1, return_index=True)[1] if len(i) else []
+        head: dict[int, int] = {}
 
         def top(c: int) -> int:
-            while head[c] != c:
-                head[c] = c = head[head[c]]
+            while (up := head.setdefault(c, c)) != c:
+                head[c] = c = head.setdefault(up, up)
             return c
 
-        ids, comp, out = rows["id"].tolist(), rows["c"].tolist(), []
-        for i, j in np.argwhere(np.triu(near)).tolist():
-            a, b = top(comp[i]), top(comp[j])
+        out = []
+        for x in first:
+            a, b = top(int(comp[i[x]])), top(int(comp[j[x]]))
             if a != b:
                 head[max(a, b)] = min(a, b)
-                out.append((ids[i], ids[j]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                out.append(x)
+        return pa.table({"a": pa.array(ids[i[out]], pa.int64()), "b": pa.array(ids[j[out]], pa.int64())})
 
     return compare
 
 
-def _resolve(links: _Links, buckets: DataFrame) -> None:
-    """Find the links across components within buckets whose smallest member was already compared."""
-    # The smallest member has met all others; without it a bucket of two has nothing left.
-    rest = buckets.join(buckets.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 2"), "bucket").where("id <> pivot").select("bucket", "id")
-    ids = materialize(links.spread(rest).select("id").distinct(), "rest")
-    if ids.isEmpty():
+def _resolve(links: _Links, pairs: DataFrame) -> None:
+    """Find the links across components among members (b) that have met the same smallest member (a)."""
+    rest = materialize(links.spread(pairs.select(F.col("a").alias("bucket"), F.col("b").alias("id"))), "rest")
+    if rest.isEmpty():
+        discard(rest)
         return
-    # Prefix rule: with shingles ordered by rarity among these members, two linked sets share one of their
-    # first n - ceil(share * n) + 1.  Members that share such a shingle, through others too, are a family.
-    texts = links.fetch(ids)
-    discard(ids)
-    own_shingles = materialize(texts.select("id", F.explode(_prefixes(links.k)("text")).alias("s")).distinct(), "shingles")
-    rarity = own_shingles.groupBy("s").agg(F.count("*").alias("df"))
-    ranked = own_shingles.join(rarity, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("all"))
-    size = F.size("all")
-    keep = (size - F.ceil(size * F.lit(links.percent) / 100) + 1).cast("int")
-    firsts = ranked.select("id", F.explode(F.filter(F.slice("all", F.lit(1), keep), lambda x: x["df"] > 1)).alias("x")).select("id", F.col("x.s").alias("s"))
-    firsts = materialize(firsts, "prefixes")
-    heads = firsts.groupBy("s").agg(F.min("id").alias("head"))
-    families = components(firsts.join(heads, "s").select("id", "head"))
-    own = families.join(links.comps.withColumnRenamed("component_id", "c"), "id", "left").select("id", F.col("component_id").alias("family"), F.coalesce("c", "id").alias("c"))
-    several = own.groupBy("family").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-    # A family is cut into blocks, and every two blocks meet in one task.
-    member = own.join(several.select("family", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "family").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    met = member.select("id", "c", "family", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.select("id", "c", "family", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    found = met.join(texts, "id").groupBy("family", "i", "j").applyInPandas(_block_links(links.percent, links.k), "a long, b long")
+    texts = links.fetch(rest.select("id").distinct())
+    # Members outside the component of the smallest come first, in blocks of their own; the others never meet each other.
+    head = links.comps.select(F.col("id").alias("bucket"), F.col("component_id").alias("inner"))
+    size = texts.groupBy("id").agg(F.sum(F.octet_length("text")).alias("size"))
+    member = rest.join(head, "bucket", "left").join(size, "id").select("bucket", "id", "c", "size", (F.col("c") == F.coalesce("inner", "bucket")).alias("linked"))
+
+    def blocks(which):
+        return F.ceil(F.greatest(F.sum(which.cast("long")) / F.lit(BLOCK), F.sum(F.when(which, F.col("size")).otherwise(0)) / F.lit(BLOCK_BYTES))).cast("int")
+
+    counts = member.groupBy("bucket").agg(blocks(F.lit(True)).alias("all"), blocks(~F.col("linked")).alias("outer"), blocks(F.col("linked")).alias("inner"))
+    member = member.join(counts, "bucket")
+    whole = F.col("all") <= 1
+    place = F.xxhash64("id")
+    mine = F.when(whole, 0).when(F.col("linked"), F.col("outer") + F.pmod(place, F.col("inner"))).otherwise(F.pmod(place, F.col("outer"))).cast("int")
+    others = F.when(whole, 1).when(F.col("linked"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")).cast("int")
+    met = member.select("bucket", "id", "c", mine.alias("mine"), F.explode(F.sequence(F.lit(0), others - 1)).alias("other"))
+    met = met.select("bucket", "id", "c", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    sets = texts.select("id", _sets(links.k)("text").alias("s"))
+    found = met.join(sets, "id").groupBy("bucket", "i", "j").applyInArrow(_block_links(links.percent), "a long, b long")
     links.add(materialize(found, "links"))
-    discard(texts, own_shingles, firsts, families)
+    discard(texts, rest)
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 3, percent: int = 85, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -316,14 +331,11 @@ def near_duplicates(docs: DataFrame, *, k: int = 3, percent: int = 85, bands: in
 
     values = classes.select("id", F.explode("bands").alias("bucket"))
     shared = values.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1")
-    buckets = materialize(values.join(shared, "bucket").select("bucket", "id", "pivot"), "buckets")
-
     links = _Links(texts, classes, k, percent, bands * rows)
-    pairs = materialize(buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    pairs = materialize(values.join(shared, "bucket").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links.verify(pairs)
+    _resolve(links, pairs)
     discard(pairs)
-    _resolve(links, buckets.select("bucket", "id"))
-    discard(buckets)
 
     component = classes.select("digest", "id").join(links.comps, "id", "left").select("digest", F.coalesce("component_id", "id").alias("found"))
     out = rows_of.select("doc_id", "n", "digest").join(component, "digest", "left")
