@@ -693,14 +693,14 @@ def test_near_duplicates_compares_no_component_with_itself(spark, monkeypatch, t
     def changed(n):
         w = list(base)
         for at in rng.sample(range(2, 198, 6), n):
-            w[at] = f"new{rng.getrandbits(40)}"
+            w[at] = f"alt{at}"  # shared, so that no text drops out by words of its own
         return " ".join(w)
 
     rows = [(0, " ".join(base))] + [(i, changed(3)) for i in range(1, 81)] + [(100, changed(12)), (101, changed(12))]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_near(rows) and {c for _, c in got.values()} == {0, 100, 101}
     met = [int(p.read_text()) for p in tmp_path.iterdir()]
-    assert met and sum(met) <= 3 * len(rows)
+    assert met and sum(met) <= 5 * len(rows)
 
 
 def test_near_duplicates_in_blocks(spark):
