@@ -28,7 +28,7 @@ def same_as_sql(spark, odd, name):
     return rows(got), rows(want)
 
 
-@pytest.mark.parametrize("name", ["filter_complement", "sentence_counts"])
+@pytest.mark.parametrize("name", ["filter_complement", "sentence_counts", "whitespace_widths"])
 def test_odd_rows(spark, odd, name):
     got, want = same_as_sql(spark, odd, name)
     assert got == want
