@@ -1,7 +1,9 @@
 """The queries that have no SQL, held against plain versions of what they compute."""
 
 import collections
+import itertools
 import math
+import random
 import re
 
 import numpy as np
@@ -274,6 +276,39 @@ def test_key_terms_of_whole_documents(spark, docs, method):
             same_terms(got[d.doc_id], by_hand(d.text))
 
 
+def test_scake_of_one_long_sentence():
+    """A text without marks is one sentence: its words are alike, and their pairs, 18 million here, aren't listed."""
+    import time
+
+    start = time.process_time()
+    got = keyterms.scake(" ".join(f"w{i}" for i in range(6000)), topn=3)
+    assert len(got) == 1 and got[0][0].startswith("w0 w1 w2 ")
+    assert time.process_time() - start < 5
+
+
+def test_truss_levels_with_what_is_known():
+    """Levels of words that occur in the same sentences, from one vertex for all of them and from cliques, and from all words."""
+    rng = random.Random(8)
+    for _ in range(60):
+        sizes = [rng.randint(1, 4) for _ in range(rng.randint(2, 7))]
+        cliques = [sorted(rng.sample(range(len(sizes)), rng.randint(1, min(4, len(sizes))))) for _ in range(4)]
+        at = [sum(sizes[:v]) for v in range(len(sizes) + 1)]
+        alike = [((1 << n) - 1) << a for n, a in zip(sizes, at, strict=False)]
+        few, every, sure = set(), set(), {}
+        for c in sorted(cliques, key=lambda c: sum(sizes[v] for v in c)):
+            own = [*itertools.combinations(c, 2), *((v, v) for v in c if sizes[v] > 1)]
+            few.update(own)
+            sure.update(dict.fromkeys(own, sum(sizes[v] for v in c)))
+            every.update(itertools.combinations([i for v in c for i in range(at[v], at[v + 1])], 2))
+        near = [0] * at[-1]
+        for x, y in every:
+            near[x] |= 1 << y
+            near[y] |= 1 << x
+        want = keyterms.truss_levels(near, every)
+        got = keyterms.truss_levels([near[a] for a in at[:-1]], few, sure, alike)
+        assert {v: want[at[v]] for v in range(len(sizes)) if at[v] in want} == got
+
+
 def test_truss_levels():
     rng = np.random.default_rng(3)
     for n, share in ((12, 0.5), (25, 0.3), (9, 1.0), (30, 0.15)):
