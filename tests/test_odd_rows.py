@@ -28,7 +28,17 @@ def same_as_sql(spark, odd, name):
     return rows(got), rows(want)
 
 
-@pytest.mark.parametrize("name", ["filter_complement", "sentence_counts", "whitespace_widths"])
+@pytest.mark.parametrize("name", ["filter_complement", "sentence_counts", "whitespace_widths", "ngrams_bigram_counts", "ngrams_trigram_minfreq", "ngrams_filtered", "ztest_bigrams", "token_windows", "chunk_on_milestone", "chunk_on_milestone_following", "chunk_on_milestone_preceding", "corpus_totals", "cooccurrence_edges", "position_bias", "yake_features", "burrows_z", "burrows_delta", "quadratic_delta", "stylo_features", "stylo_tfidf", "compare_docs_to_classes", "compare_docs_to_classes_top", "compare_doc_to_corpus_top"])
 def test_odd_rows(spark, odd, name):
     got, want = same_as_sql(spark, odd, name)
     assert got == want
+
+
+#: How often rows of a query are shuffled by a key: not at all, or once as sums of each document.
+SHUFFLES = {"token_windows": 0, "chunk_on_milestone_following": 0, "chunk_on_milestone_preceding": 0, "burrows_z": 0, "burrows_delta": 0, "quadratic_delta": 0, "yake_features": 1, "cooccurrence_edges": 1, "position_bias": 1, "corpus_totals": 1, "ztest_bigrams": 1}
+
+
+@pytest.mark.parametrize("name", SHUFFLES)
+def test_no_token_is_shuffled(spark, odd, name):
+    plan = QUERIES[name].run(spark, odd)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= SHUFFLES[name] and "Window" not in plan
