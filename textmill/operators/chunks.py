@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmill.functions import tokens as ft
 from textmill.operators.rows import each
 
 _NONE = "array<int>"
@@ -92,6 +96,29 @@ def on_milestones(tokens: DataFrame, milestone: str, *, keep: str | None = None)
     return own.groupBy("doc_id", "chunk_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), " ").alias("chunk"))
 
 
+def texts_on_milestones(docs: DataFrame, milestone: str, *, keep: str | None = None, tokenizer: Callable[[Column], Column] = ft.whitespace_tokens, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same from the texts, cut within their rows, with no shuffle."""
+    kind = pa.list_(pa.struct([("chunk_no", pa.int32()), ("chunk", pa.string())]))
+
+    def cut(words: list[str]) -> list[dict]:
+        hits = [i for i, w in enumerate(words) if w == milestone]
+        # A milestone ends its chunk if it belongs to what precedes it, else it starts one.
+        ends = [i + (keep == "preceding") for i in hits]
+        out = []
+        for no, (a, b) in enumerate(zip([0, *ends], [*ends, len(words)], strict=True)):
+            if keep is None and no:
+                a += 1
+            if a < b:
+                out.append({"chunk_no": no, "chunk": " ".join(words[a:b])})
+        return out
+
+    @F.arrow_udf("array<struct<chunk_no: int, chunk: string>>")
+    def chunks(tokens: pa.Array) -> pa.Array:
+        return pa.array([cut(t or []) for t in tokens.to_pylist()], kind)
+
+    return each(docs, chunks(tokenizer(F.col(text_col))), "__i", "c", F.col(id_col).alias("doc_id")).select("doc_id", "c.*")
+
+
 def merge(chunks: DataFrame, sep: str = " ", *, order: str = "chunk_no", text_col: str = "chunk") -> DataFrame:
     """Chunks of each document joined in order."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text_col).alias("t"))))
