@@ -49,9 +49,8 @@ def top_terms_per_lang(spark, sf_dir):
 
 @query(f"{_STATS} SELECT count(*)::BIGINT AS num_docs, sum(total_tokens)::BIGINT AS num_tokens, sum(total_terms)::BIGINT AS num_terms, (SELECT count(DISTINCT token) FROM t)::BIGINT AS n_distinct_terms FROM s")
 def corpus_totals(spark, sf_dir):
-    per = toks(spark, sf_dir).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    sums = per.groupBy("doc_id").agg(F.sum("n").alias("n"), F.count("*").alias("v")).agg(F.count("*").alias("num_docs"), F.sum("n").alias("num_tokens"), F.sum("v").alias("num_terms"))
-    return sums.crossJoin(F.broadcast(per.agg(F.count_distinct("token").alias("n_distinct_terms"))))
+    sums = S.doc_stats_of(docs(spark, sf_dir)).agg(F.count("*").alias("num_docs"), F.sum("total_tokens").alias("num_tokens"), F.sum("total_terms").alias("num_terms"))
+    return sums.crossJoin(F.broadcast(T.term_counts(toks(spark, sf_dir)).agg(F.count("*").alias("n_distinct_terms"))))
 
 
 _RECORDS = "WITH w AS (SELECT documents.*, coalesce(quality, 0) = 1 AS is_active, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents LEFT JOIN labels USING (doc_id)), r AS (SELECT doc_id, lang, source, is_active, len(w)::BIGINT AS num_tokens, len(list_distinct(w))::BIGINT AS num_terms, CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w) ELSE 0 END AS vocab_density, text FROM w)"
