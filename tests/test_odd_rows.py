@@ -42,3 +42,10 @@ SHUFFLES = {"token_windows": 0, "chunk_on_milestone_following": 0, "chunk_on_mil
 def test_no_token_is_shuffled(spark, odd, name):
     plan = QUERIES[name].run(spark, odd)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= SHUFFLES[name] and "Window" not in plan
+
+
+def test_texts_are_counted_once_for_comparisons(spark, odd):
+    """What all steps read is a written table of counts, so no plan after it reads the texts."""
+    for name in ("compare_docs_to_classes", "compare_docs_to_classes_top", "compare_doc_to_corpus_top"):
+        plan = QUERIES[name].run(spark, odd)._jdf.queryExecution().executedPlan().toString()
+        assert "documents.parquet" not in plan and "/counts-" in plan
